@@ -34,12 +34,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read again: compact, and columns are pruned on reading."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write to the shared folder as Parquet, partitioned by the given columns, and read again: compact, and columns are pruned on reading."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:

@@ -118,3 +118,31 @@ def grams(h: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.
 def row_of(bounds: np.ndarray) -> np.ndarray:
     """The row of each word."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+class HashIndex:
+    """Positions of 64-bit hashes in a sorted array, by an open-addressed table; about as many steps for a million keys as for ten."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        n = np.arange(len(keys))
+        at = n + np.maximum.accumulate(slot - n) if len(keys) else slot
+        self.table = np.full((1 << self.bits) + len(keys) + 2, -1, np.int32)
+        self.table[at] = n
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The position of each, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.keys):
+            return out
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            got = self.table[slot]
+            same = (got >= 0) & (self.keys[got] == h[left])
+            out[left[same]] = got[same]
+            go = (got >= 0) & ~same
+            left, slot = left[go], slot[go] + 1
+        return out
