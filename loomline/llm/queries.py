@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import exact_dedup, jaccard_join, mixing, substring_dedup
+from loomline.llm import exact_dedup, jaccard_join, katz, line_crf, mixing, piece_codec, substring_dedup
 from loomline.llm.common import table
 
 
@@ -47,20 +47,45 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 """
 
 
+def piece_model() -> str:
+    """The default vocabulary: the file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("k")
 
 
+def op8_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.trimmed(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    out = line_crf.scored(docs, model)
+    return out.select("doc_id", (line_crf.part_of("doc_id", 4) == 2).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {
         "op2_mix_sources": op2_mix_sources,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_sentencepiece": op5_sentencepiece,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_katz_score": op8_katz_score,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_quality_crf": op10_quality_crf,
     }
 
 
