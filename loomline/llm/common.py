@@ -28,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts are cut by rows alone; a thousand rows keep those of long texts small. A value set by the user stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint; Spark removes the files when the frame is no longer referenced."""
     shared_dir(df.sparkSession)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import bloom
-from loomline.llm.common import row_key, settle, skew_join, stored
+from loomline.llm.common import bounded_batches, row_key, settle, skew_join, stored
 from loomline.llm.exchange import binary, bucket_of, buckets_for, by_bucket, lengths, text_bytes, unpack
 from loomline.llm.textkit import grams, mix, row_of, slices, words
 
@@ -254,6 +254,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id and k, the row's key."""
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("text"))
     hot = hot_shingles(keyed, size)
     described = stored(describe(keyed, hot, size, percent), "described")

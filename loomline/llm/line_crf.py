@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.common import bounded_batches
 from loomline.llm.textkit import powers, slices, words
 
 MOST_TRAINING = 6000
@@ -205,6 +206,7 @@ def part_of(id_col: str, parts: int) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_TRAINING) -> Model:
     """From labelled rows outside the held-out part (part_of(id, 4) = 2)."""
+    bounded_batches(docs.sparkSession)
     chosen = labels.filter((part_of(id_col, 4) != 2) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("i"), "i", "y").limit(most)
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "i")
@@ -227,6 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with __score, 0 to 1."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -242,6 +245,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def line_labels(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, line, bad): the marginal of every line that is not blank, in order."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.common import bounded_batches
 from loomline.llm.textkit import HashIndex, mix
 
 SPACE = "▁"
@@ -212,6 +213,8 @@ def _together(texts: list[str]):
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids_sha256, decoded_sha256 of every text."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         c = codec(path)
         for batch in batches:
@@ -233,6 +236,8 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """docs with __ids, the token ids of each text."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
         c = codec(path)

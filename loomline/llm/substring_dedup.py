@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm import bloom
-from loomline.llm.common import row_key, stored
+from loomline.llm.common import bounded_batches, row_key, stored
 from loomline.llm.exchange import binary, bucket_of, buckets_for, by_bucket, text_bytes, unpack
 from loomline.llm.textkit import grams, mix, slices, words
 
@@ -164,6 +164,7 @@ def _covered(n: int, places: list, window: int) -> np.ndarray:
 def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
     """id_col, n_words, n_removed and the kept words joined by one space: kept_text, or with digest kept_sha256 of its UTF-8."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     keyed = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("text"))
     cuts = stored(repeated_windows(keyed.select("k", "text"), window), "windows")
     hit = bloom.may_have(spark, bloom.build(cuts.select("k"), cuts.count()), F.col("k"))

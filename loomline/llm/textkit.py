@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer text is one slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 19
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
