@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import exact_dedup, jaccard_join, katz, line_crf, mixing, piece_codec, substring_dedup
+from loomline.llm import chat_repair, exact_dedup, jaccard_join, katz, line_crf, mixing, piece_codec, posting_ann, substring_dedup, url_filter
 from loomline.llm.common import table
 
 
+def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.summary(table(spark, sf_dir, "conversations"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__times") * F.col("__size")).alias("taken"))
@@ -36,6 +40,70 @@ FROM d JOIN q ON d.src IS NOT DISTINCT FROM q.src LEFT JOIN cut ON d.src IS NOT
 """
 
 
+def digits(text) -> F.Column:
+    """A number below 2**24 from the MD5 of a text, the same in any engine."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("long")
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A log of list entries over the hosts of the pages themselves: four tenths of the hosts are blocked at some minute, half of those are
+    taken off again and some come back; a quarter of the domains above are blocked; an eighth of the first path segments are allowed."""
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("h"), url_filter.path_of(F.col("url")).alias("p")).filter("h != ''")
+    host = hosts.select("h").distinct().withColumn("k", digits(F.col("h")) % 10)
+    begin = digits(F.concat(F.lit("a"), "h")) % 400_000
+    end = begin + 1 + digits(F.concat(F.lit("r"), "h")) % 80_000
+    entry = lambda rows, rule, verdict, action, at: rows.select(rule.alias("rule"), F.lit(verdict).alias("verdict"), F.lit(action).alias("action"), at.alias("at"))
+    rule = F.col("h")
+    domain = hosts.select(F.regexp_extract("h", r"([^.]+\.[^.]+)$", 1).alias("h")).distinct().filter("h != ''").filter(digits(F.concat(F.lit("d"), "h")) % 4 == 0)
+    path = hosts.filter("size(p) > 0").select(F.concat("h", F.lit("/"), F.element_at("p", 1)).alias("h")).distinct().filter(digits(F.col("h")) % 8 == 0)
+    parts = [
+        entry(host.filter("k < 4"), rule, "block", "add", begin),
+        entry(host.filter("k < 2"), rule, "block", "remove", end),
+        entry(host.filter("k = 0"), rule, "block", "add", end + 50_000),
+        entry(domain, rule, "block", "add", begin),
+        entry(path, rule, "allow", "add", begin),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page counts as fetched at a minute of the year that comes from its URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", digits(F.concat(F.lit("t"), "url")) % 525_600)
+    out = url_filter.judge(captures, list_entries(pages))
+    return out.select("page_id", "url", "fetched", F.col("__verdict").alias("verdict"), F.col("__rule").alias("rule"), F.col("__active").cast("long").alias("active"))
+
+
+OP3_SQL = r"""
+WITH c AS (SELECT page_id, url, ('0x' || substr(md5('t' || url), 1, 6))::BIGINT % 525600 AS fetched,
+    lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*?)\.?(?::\d*)?(?:[/?#]|$)', 1)) AS h,
+    list_filter(string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)', 1), '/'), x -> x <> '') AS p FROM pages),
+ hosts AS (SELECT DISTINCT h, ('0x' || substr(md5(h), 1, 6))::BIGINT % 10 AS k FROM c WHERE h <> ''),
+ t AS (SELECT h, k, 'host' AS kind FROM hosts
+       UNION ALL SELECT DISTINCT regexp_extract(h, '([^.]+\.[^.]+)$', 1), 0, 'domain' FROM c WHERE regexp_extract(h, '([^.]+\.[^.]+)$', 1) <> ''
+       UNION ALL SELECT DISTINCT h || '/' || p[1], 0, 'path' FROM c WHERE h <> '' AND len(p) > 0),
+ d AS (SELECT *, ('0x' || substr(md5('a' || h), 1, 6))::BIGINT % 400000 AS b, ('0x' || substr(md5('r' || h), 1, 6))::BIGINT % 80000 AS r FROM t
+       WHERE kind = 'host' OR (kind = 'domain' AND ('0x' || substr(md5('d' || h), 1, 6))::BIGINT % 4 = 0) OR (kind = 'path' AND ('0x' || substr(md5(h), 1, 6))::BIGINT % 8 = 0)),
+ e AS (SELECT h AS rule, 'block' AS verdict, 'add' AS action, b AS at FROM d WHERE kind = 'host' AND k < 4
+       UNION ALL SELECT h, 'block', 'remove', b + 1 + r FROM d WHERE kind = 'host' AND k < 2
+       UNION ALL SELECT h, 'block', 'add', b + 1 + r + 50000 FROM d WHERE kind = 'host' AND k = 0
+       UNION ALL SELECT h, 'block', 'add', b FROM d WHERE kind = 'domain'
+       UNION ALL SELECT h, 'allow', 'add', b FROM d WHERE kind = 'path'),
+ l AS (SELECT rule, at, max({'action': action, 'verdict': verdict}) AS x FROM e GROUP BY rule, at),
+ v AS (SELECT rule, x.verdict AS verdict, x.action AS action, at AS f, lead(at) OVER (PARTITION BY rule ORDER BY at) AS u FROM l),
+ keys AS (SELECT DISTINCT url, fetched, unnest(list_concat(
+            [array_to_string(string_split(h, '.')[i:], '.') FOR i IN range(1, len(string_split(h, '.')) + 1)],
+            [h || '/' || array_to_string(p[1:j], '/') FOR j IN range(1, len(p) + 1)])) AS rule FROM c WHERE h <> ''),
+ a AS (SELECT url, fetched, v.rule, verdict, row_number() OVER (PARTITION BY url, fetched ORDER BY len(regexp_split_to_array(v.rule, '[./]')) DESC, verdict <> 'block', v.rule) AS k,
+              count(*) OVER (PARTITION BY url, fetched) AS n
+       FROM keys JOIN v USING (rule) WHERE action = 'add' AND f <= fetched AND (u IS NULL OR fetched < u))
+SELECT c.page_id, c.url, c.fetched, coalesce(a.verdict, 'none') AS verdict, a.rule, coalesce(a.n, 0) AS active FROM c LEFT JOIN a ON a.url = c.url AND a.fetched = c.fetched AND a.k = 1
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,6 +126,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
 
 
+def op6_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("k")
 
@@ -79,9 +151,12 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_chat_repair": op1_chat_repair,
         "op2_mix_sources": op2_mix_sources,
+        "op3_url_filter": op3_url_filter,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_posting_ann": op6_posting_ann,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_katz_score": op8_katz_score,
         "op9_substring_dedup": op9_substring_dedup,
@@ -90,4 +165,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_mix_sources": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_exact_dedup": OP4_SQL}
