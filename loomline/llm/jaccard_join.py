@@ -39,7 +39,7 @@ SIZE, PERCENT = 5, 75
 #: A shingle counts as hot from so many occurrences, counted where it occurs twice in a flush; the table of hot shingles has at most HOT_MOST
 #: entries (the threshold doubles until it fits). It only orders the lists: whatever it holds, the result is the same.
 HOT_LEAST, HOT_MOST = 32, 400_000
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Partners of one query that are dealt to a task at once.
 BLOCK = 200
 

@@ -80,20 +80,20 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH c AS (SELECT page_id, url, ('0x' || substr(md5('t' || url), 1, 6))::BIGINT % 525600 AS fetched,
     lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*?)\.?(?::\d*)?(?:[/?#]|$)', 1)) AS h,
-    list_filter(string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)', 1), '/'), x -> x <> '') AS p FROM pages),
+    list_filter(string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages),
  hosts AS (SELECT DISTINCT h, ('0x' || substr(md5(h), 1, 6))::BIGINT % 10 AS k FROM c WHERE h <> ''),
  t AS (SELECT h, k, 'host' AS kind FROM hosts
        UNION ALL SELECT DISTINCT regexp_extract(h, '([^.]+\.[^.]+)$', 1), 0, 'domain' FROM c WHERE regexp_extract(h, '([^.]+\.[^.]+)$', 1) <> ''
        UNION ALL SELECT DISTINCT h || '/' || p[1], 0, 'path' FROM c WHERE h <> '' AND len(p) > 0),
  d AS (SELECT *, ('0x' || substr(md5('a' || h), 1, 6))::BIGINT % 400000 AS b, ('0x' || substr(md5('r' || h), 1, 6))::BIGINT % 80000 AS r FROM t
        WHERE kind = 'host' OR (kind = 'domain' AND ('0x' || substr(md5('d' || h), 1, 6))::BIGINT % 4 = 0) OR (kind = 'path' AND ('0x' || substr(md5(h), 1, 6))::BIGINT % 8 = 0)),
- e AS (SELECT h AS rule, 'block' AS verdict, 'add' AS action, b AS at FROM d WHERE kind = 'host' AND k < 4
+ e AS (SELECT h AS rule, 'block' AS verdict, 'add' AS action, b AS minute FROM d WHERE kind = 'host' AND k < 4
        UNION ALL SELECT h, 'block', 'remove', b + 1 + r FROM d WHERE kind = 'host' AND k < 2
        UNION ALL SELECT h, 'block', 'add', b + 1 + r + 50000 FROM d WHERE kind = 'host' AND k = 0
        UNION ALL SELECT h, 'block', 'add', b FROM d WHERE kind = 'domain'
        UNION ALL SELECT h, 'allow', 'add', b FROM d WHERE kind = 'path'),
- l AS (SELECT rule, at, max({'action': action, 'verdict': verdict}) AS x FROM e GROUP BY rule, at),
- v AS (SELECT rule, x.verdict AS verdict, x.action AS action, at AS f, lead(at) OVER (PARTITION BY rule ORDER BY at) AS u FROM l),
+ l AS (SELECT rule, minute, max(action || ':' || verdict) AS x FROM e GROUP BY rule, minute),
+ v AS (SELECT rule, split_part(x, ':', 2) AS verdict, split_part(x, ':', 1) AS action, minute AS f, lead(minute) OVER (PARTITION BY rule ORDER BY minute) AS u FROM l),
  keys AS (SELECT DISTINCT url, fetched, unnest(list_concat(
             [array_to_string(string_split(h, '.')[i:], '.') FOR i IN range(1, len(string_split(h, '.')) + 1)],
             [h || '/' || array_to_string(p[1:j], '/') FOR j IN range(1, len(p) + 1)])) AS rule FROM c WHERE h <> ''),

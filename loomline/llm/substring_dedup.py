@@ -29,7 +29,7 @@ from loomline.llm.textkit import grams, mix, slices, words
 WINDOW = 35
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 #: Entries that a task gathers before it sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 ROWS = "bucket int, kind int, hashes binary, keys binary, places binary"
 FOUND = "k long, places binary"
 
