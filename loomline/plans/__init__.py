@@ -6,7 +6,7 @@ import importlib
 
 from loomline.plans.registry import QUERIES, SQL, Query
 
-MODULES = ("relational", "text", "search")
+MODULES = ("relational", "text", "search", "archive")
 
 
 def _load() -> None:
