@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Reactions that count as negative unless others are set, and how far each kind of block is understood.
-NEGATIVE = ("2", "7", "12", "15", "16", "20", "27", "30")
+NEGATIVE = ("23", "5", "25", "39", "40", "41", "7", "28")
 FULL = "text header list quote incut delimiter media video link osnovaEmbed code quiz person audio telegram".split()
 PARTIAL = "special_button telegram_button rawhtml".split()
 GENERIC = "tweet instagram tiktok yamusic spotify game number embed movie".split()
@@ -41,7 +41,7 @@ def block_level(kind: Column) -> Column:
 def lead(texts: Column, width: int = 300) -> Column:
     """The first text that is not empty, cut with an ellipsis."""
     first = F.element_at(F.filter(texts, lambda x: F.trim(x) != ""), 1)
-    return F.coalesce(F.when(F.length(first) > width, F.concat(F.rtrim(F.left(first, F.lit(width))), F.lit("…"))).otherwise(first), F.lit(""))
+    return F.coalesce(F.when(F.length(first) > width, F.concat(F.left(first, F.lit(width)), F.lit("…"))).otherwise(first), F.lit(""))
 
 
 def first_of(*candidates: Column) -> Column:
@@ -49,9 +49,9 @@ def first_of(*candidates: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates])
 
 
-def context_status(root: Column, thread: Column, present: Column, entry: Column) -> Column:
-    """Whether a comment's context is there. root: it answers nothing; thread: the thread's status; present: it is in the fetched thread."""
-    status = F.when(root, "not_needed").when(thread.isNull(), "not_fetched").when(present, "ok").otherwise("missing")
+def context_status(present: Column, needed: Column, fetched: Column, entry: Column) -> Column:
+    """Whether a comment's context is there. present: in the fetched thread; needed: it answers something or is answered."""
+    status = F.when(present, "ok").when(~needed, "not_needed").when(~fetched, "not_fetched").otherwise("missing")
     return F.when(entry.isNull(), "no_post").otherwise(status)
 
 

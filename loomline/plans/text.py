@@ -42,7 +42,7 @@ def _stems(t: Tables) -> DataFrame:
     return words.select("term", "n", text.stems_of("term").alias("stems"))
 
 
-@query("t14_short", r"SELECT page_id, CASE WHEN len(p) > 120 THEN rtrim(p[1:119]) || '…' ELSE p END AS short FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM pages)")
+@query("t14_short", r"SELECT page_id, CASE WHEN len(p) > 120 THEN p[1:120] || '…' ELSE p END AS short FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM pages)")
 def _short(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.short(F.col("html"), 120).alias("short"))
 
