@@ -54,6 +54,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     count = narrow.count()
     seen = bloom.build(narrow.select("h"), count, repeated=True)
     probed = keyed.withColumn("__again", bloom.may_have(spark, seen, F.col("__h")))
-    best = narrow.filter(bloom.may_have(spark, seen, F.col("h"))).groupBy("d").agg(F.max("i").alias("best"))
-    stay = probed.filter("__again").join(best, (F.col("__d") == F.col("d")) & F.col(id_col).eqNullSafe(F.col("best")), "left_semi")
+    best = narrow.filter(bloom.may_have(spark, seen, F.col("h"))).groupBy(F.col("d").alias("__best_d")).agg(F.max("i").alias("__best"))
+    stay = probed.filter("__again").join(best, (F.col("__d") == F.col("__best_d")) & F.col(id_col).eqNullSafe(F.col("__best")), "left_semi")
     return probed.filter(~F.col("__again")).unionByName(stay.dropDuplicates(["__d"])).select(*docs.columns)

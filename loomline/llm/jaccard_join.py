@@ -313,5 +313,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop = stored(found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select("k"), "dropped").distinct()
     keyed = docs.withColumn("__k", row_key(id_col, text_col))
     maybe = bloom.may_have(spark, bloom.build(drop, drop.count()), F.col("__k"))
-    kept = keyed.filter(maybe).join(drop, F.col("__k") == F.col("k"), "left_anti")
+    kept = keyed.filter(maybe).join(drop.withColumnRenamed("k", "__drop"), F.col("__k") == F.col("__drop"), "left_anti")
     return keyed.filter(~maybe).unionByName(kept).select(*docs.columns)
