@@ -6,11 +6,12 @@ RELABEL, putting an empty turn in between INSERT. The repaired sequence is then
 
 A conversation is cut into blocks of BLOCK turn numbers. The first pass reduces each block to a matrix of costs between the automaton's states,
 without reading texts; matrices of a conversation are combined by min-plus products to the states at the cuts; the second pass repairs each block
-between its two states. So a conversation that holds a third of all rows is dealt over many tasks, and the result is the same as in one.
+between its two states. So a conversation that holds a third of all rows is dealt over many tasks, and its cost is the same as in one.
 
-Defined results: turns are ordered by number (null last), then role, then text, null first; roles count without case and outer spaces, any other
-or null role must be relabelled; null text is empty; repeated rows are turns of their own; null is a conversation of its own; equal costs are
-decided by the order keep, merge, relabel, insert at the first difference from the end; an empty table gives an empty result. Other columns
+Defined results: turns are ordered by number (null last), then role (null first), then a hash of the text; roles count without case and outer
+spaces, any other or null role must be relabelled; null text is empty; repeated rows are turns of their own; null is a conversation of its own;
+of repairs of equal cost, going back from the end of a block, the one that does not merge is taken, then the one whose turn before comes first in
+the order none, system, user, assistant, which also decides at a cut; an empty table gives an empty result. Other columns
 are not read.
 """
 
@@ -117,8 +118,6 @@ def _numbered(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "role", code.alias("code"), F.coalesce("text", F.lit("")).alias("text"), F.col("text").alias("raw"), block.cast("long").alias("block"))
 
 
-
-
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[list]]]:
     """Runs of rows with equal keys, over batch borders: one block of a conversation at a time is held."""
     now, held = None, [[] for _ in columns]
@@ -191,17 +190,18 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def rendered(turns: DataFrame) -> DataFrame:
     """conv_id, block, n_turns, n_repaired, cost, rendered: a conversation's text is that of its blocks in order."""
     kind = turns.schema["conv_id"].dataType.simpleString()
-    states = plan(turns).withColumnsRenamed({"conv_id": "p_conv", "block": "p_block"})
-    rows = _numbered(turns).join(states, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("block") == F.col("p_block")))
-    rows = rows.withColumn("tie", F.xxhash64("raw")).sortWithinPartitions("conv_id", "block", F.col("turn").isNull(), "turn", "role", "tie")
+    # a block's states travel as its first row, so texts are shuffled once and a block is whole in its task, whatever Spark makes of joins
+    states = plan(turns).select("conv_id", "block", F.lit(0).alias("place"), "entry", "leave", "last", "cost")
+    rows = _numbered(turns).select("conv_id", "block", F.lit(1).alias("place"), "turn", "role", "code", "text", F.xxhash64("raw").alias("tie"))
+    rows = rows.unionByName(states, allowMissingColumns=True).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place", F.col("turn").isNull(), "turn", "role", "tie")
 
     def render(batches):
         out = []
         size = 0
         for (conv, block), (codes, texts, entry, leave, last, cost) in _runs(batches, ["conv_id", "block"], ["code", "text", "entry", "leave", "last", "cost"]):
-            turns = list(repaired(codes, texts, entry[0], leave[0], last[0]))
+            turns = list(repaired(codes[1:], texts[1:], entry[0], leave[0], last[0]))
             text = "".join(piece(s, t, joins, entry[0] == 0 and k == 0) for k, (s, t, joins, _) in enumerate(turns)) + ("<|end|>\n" if last[0] else "")
-            out.append((conv, block, len(codes), sum(not joins for _, _, joins, _ in turns), cost[0], text))
+            out.append((conv, block, len(codes) - 1, sum(not joins for _, _, joins, _ in turns), cost[0], text))
             size += len(text)
             if size >= 1 << 22:
                 yield _batch(out, schema)

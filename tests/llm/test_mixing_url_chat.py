@@ -67,7 +67,7 @@ def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
-    want = con.execute(queries.oracle_sql()[name]).fetch_arrow_table()
+    want = con.sql(queries.oracle_sql()[name]).to_arrow_table()
     got = queries.queries()[name](spark, SMALL).select(*want.column_names).toArrow()
     norm = lambda t: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r.values()) for r in t.to_pylist()), key=repr)
     assert norm(got) == norm(want) and len(got)
@@ -135,19 +135,19 @@ def test_rendered_conversations_are_legal_and_whole(spark, monkeypatch):
     rng = random.Random(4)
     sequences = {c: [rng.choice(["system", "user", "assistant", " User ", None, "bot"]) for _ in range(rng.randint(1, 30))] for c in range(60)}
     df = chats(spark, sequences)
-    whole = {r["conv_id"]: r for r in chat_repair.rendered(df).collect()}
-    for c, r in whole.items():
-        text = r["rendered"]
-        roles = [x.split("|>")[0] for x in text.split("<|")[1:] if not x.startswith("end|>")]
-        assert all(b in brute.LEGAL[a] for a, b in zip(["start", *roles], roles)) and roles[-1] == "assistant" and len(roles) == r["n_repaired"]
-        at = [text.index(f"t{k}") for k in range(len(sequences[c])) if k > 9 or f"t{k}\n" in text + "\n"]
-        assert at == sorted(at) and text.count("<|end|>\n") == len(roles) and r["n_turns"] == len(sequences[c])
-    monkeypatch.setattr(chat_repair, "BLOCK", 4)
-    parts = {}
-    for r in sorted(chat_repair.rendered(df).collect(), key=lambda r: r["block"]):
-        parts[r["conv_id"]] = parts.get(r["conv_id"], "") + r["rendered"]
-        assert r["cost"] == whole[r["conv_id"]]["cost"]
-    assert parts == {c: r["rendered"] for c, r in whole.items()}
+    cost = {r["conv_id"]: r["cost"] for r in chat_repair.rendered(df).collect()}
+    for block in (4096, 4):
+        monkeypatch.setattr(chat_repair, "BLOCK", block)
+        parts, n = {}, {}
+        for r in sorted(chat_repair.rendered(df).collect(), key=lambda r: r["block"]):
+            c = r["conv_id"]
+            parts[c], n[c] = parts.get(c, "") + r["rendered"], [x + y for x, y in zip(n.get(c, (0, 0)), (r["n_turns"], r["n_repaired"]))]
+            assert r["cost"] == cost[c]
+        for c, text in parts.items():
+            turns = [x.split("|>\n", 1) for x in text.removesuffix("<|end|>\n").removeprefix("<|").split("<|end|>\n<|")]
+            assert all(b in brute.LEGAL[a] for a, b in zip(["start", *(r for r, _ in turns)], (r for r, _ in turns))) and turns[-1][0] == "assistant"
+            assert [t for _, x in turns for t in x.split("\n\n") if t] == [f"t{k}" for k in range(len(sequences[c]))]
+            assert n[c] == [len(sequences[c]), len(turns)]
 
 
 def test_chat_edges(spark):
