@@ -68,3 +68,21 @@ def preorder(nodes: DataFrame) -> DataFrame:
     path = F.concat(F.coalesce(F.transform("chain", lambda x: F.struct(x["d"].alias("d"), x["a"].alias("a"))), F.array().cast("array<struct<d:bigint,a:bigint>>")), own)
     out = nodes.join(above, "id", "left").withColumn("path", path.cast("array<struct<d:bigint,a:bigint>>"))
     return out.select("id", F.col("path")[0]["a"].alias("root"), (F.size("path") - 1).alias("depth"), "path")
+
+
+def shown(edges: DataFrame, mine: DataFrame) -> DataFrame:
+    """edges: (id, parent), mine: (id, grp) -> (grp, id, chain): what is shown around a group's own comments (what they answer and all that
+    answers them), chain marking the run from the root down that has one child each and none of the own ones: it is shown collapsed."""
+    kept = ancestors(edges)
+    present = edges.select("id").distinct()
+    above = kept.join(mine, "id").select("grp", F.col("ancestor").alias("id")).join(present, "id", "left_semi")
+    below = kept.join(mine.withColumnRenamed("id", "ancestor"), "ancestor").select("grp", "id")
+    own = mine.join(present, "id", "left_semi").select("grp", "id")
+    nodes = own.unionByName(above).unionByName(below).distinct()
+    linked = nodes.join(edges.groupBy("id").agg(F.max("parent").alias("parent")), "id")
+    children = linked.groupBy("grp", F.col("parent").alias("id")).agg(F.count("*").alias("children"))
+    # a node is in the chain if neither it nor anything above it is own or has other than one child
+    ends = nodes.join(children, ["grp", "id"], "left").join(mine.withColumn("own", F.lit(True)), ["grp", "id"], "left").filter("own or coalesce(children, 0) != 1").select("grp", "id")
+    under = ends.withColumnRenamed("id", "ancestor").join(kept, "ancestor").select("grp", "id")
+    stop = ends.unionByName(under).distinct().withColumn("stop", F.lit(True))
+    return nodes.join(stop, ["grp", "id"], "left").select("grp", "id", F.col("stop").isNull().alias("chain"))
