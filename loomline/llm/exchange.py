@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ENTRIES = 1_500_000
+ENTRIES = 500_000
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:

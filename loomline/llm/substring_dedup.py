@@ -131,7 +131,8 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIO
 
     found = stored(_exchange(keyed.mapInArrow(anchors, ROWS)), "anchors")
     count = found.count()
-    held = keyed.filter(bloom.may_have(spark, bloom.build(found.select("k"), count), F.col("k"))).join(found, "k")
+    # a merge join: each stage then runs one Python operator, and so one worker a core
+    held = keyed.filter(bloom.may_have(spark, bloom.build(found.select("k"), count), F.col("k"))).join(found.hint("merge"), "k")
     windows = buckets_for(volume / 3)
 
     def candidates(batches):
@@ -167,7 +168,8 @@ def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     bounded_batches(spark)
     keyed = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("text"))
     cuts = stored(repeated_windows(keyed.select("k", "text"), window), "windows")
-    hit = bloom.may_have(spark, bloom.build(cuts.select("k"), cuts.count()), F.col("k"))
+    maybe = bloom.build(cuts.select("k"), cuts.count())
+    sent = spark.sparkContext.broadcast(maybe)
     name = "kept_sha256" if digest else "kept_text"
 
     def finish(batches):
@@ -188,6 +190,10 @@ def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_words long, n_removed long, {name} string"
-    clean = keyed.filter(~hit).select("i", "text").mapInArrow(finish, schema)
-    cut = keyed.filter(hit).join(cuts, "k", "left").select("i", "text", "places").mapInArrow(finish, schema)
+
+    def untouched(batches):
+        yield from finish(b.filter(pa.array(~bloom.has(sent.value, b["k"].to_numpy()))) for b in batches)
+
+    clean = keyed.mapInArrow(untouched, schema)
+    cut = keyed.filter(bloom.may_have(spark, maybe, F.col("k"))).join(cuts.hint("merge"), "k", "left").select("i", "text", "places").mapInArrow(finish, schema)
     return clean.unionByName(cut)
