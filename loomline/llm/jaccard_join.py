@@ -215,13 +215,15 @@ def verified(pairs: DataFrame, described: DataFrame, keyed: DataFrame, hot: np.n
     members = dealt.select("a", "part", F.col("b").alias("c")).unionByName(dealt.select("a", "part", F.col("a").alias("c")).distinct())
     wanted = dealt.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     held = stored(described.select("k", "c").join(wanted, "c", "left_semi").groupBy("c").agg(F.min("k").alias("k")), "wanted")
-    texts = keyed.filter(bloom.may_have(spark, bloom.build(held.select("k"), held.count()), F.col("k")))
+    maybe = spark.sparkContext.broadcast(bloom.build(held.select("k"), held.count()))
 
     def sets(batches):
-        for batch, lo, hi, g, bounds in shingle_sets(batches, size):
+        # the filter is probed here and not in a UDF of its own, so a stage runs one Python operator and one worker a core
+        some = (b.filter(pa.array(bloom.has(maybe.value, b["k"].to_numpy()))) for b in batches)
+        for batch, lo, hi, g, bounds in shingle_sets(some, size):
             yield pa.RecordBatch.from_arrays([batch["k"].slice(lo, hi - lo), binary(g, bounds)], ["k", "items"])
 
-    given = texts.select("k", "text").mapInArrow(sets, "k long, items binary").join(held, "k").dropDuplicates(["c"]).select("c", "items")
+    given = keyed.select("k", "text").mapInArrow(sets, "k long, items binary").join(held, "k").dropDuplicates(["c"]).select("c", "items")
     sent = spark.sparkContext.broadcast(hot)
 
     def check(group: pa.Table) -> pa.Table:
