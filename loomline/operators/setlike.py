@@ -53,3 +53,17 @@ def trigram_neighbours(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     left = words.select("word", F.explode(trigrams(F.col("word"))).alias("g"))
     right = vocabulary.select("term", F.explode(trigrams(F.col("term"))).alias("g"))
     return left.join(right, "g").groupBy("word", "term").agg(F.count("*").alias("shared"))
+
+
+def deletions(word: Column) -> Column:
+    """The word itself and what is left of it without one character."""
+    without = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.left(word, i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.array_prepend(without, word))
+
+
+def one_edit_neighbours(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, term): pairs that share a form with at most one character deleted, which every pair within one edit or swap does. An equality join
+    on some ten forms a word, where sharing a trigram would join each word with a large part of the vocabulary."""
+    left = words.select("word", F.explode(deletions(F.col("word"))).alias("form"))
+    right = vocabulary.select("term", F.explode(deletions(F.col("term"))).alias("form"))
+    return left.join(right, "form").select("word", "term").distinct()
