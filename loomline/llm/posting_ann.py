@@ -30,7 +30,7 @@ from loomline.llm.common import stored
 #: Vectors a list should hold, centroids at most, and vectors from which they are learnt at most (the bound of the sample).
 LIST, MOST_CENTROIDS, MOST_SAMPLE = 100, 16_384, 131_072
 REPLICAS, CLOSURE = 4, 1.15
-LISTS, PRUNE = 56, 1.6
+LISTS, PRUNE = 80, 1.8
 PART, BLOCK = 2048, 1024
 DEGREE, BEAM, ENTRIES = 24, 96, 16
 FAN = 64
