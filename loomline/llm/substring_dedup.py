@@ -62,8 +62,8 @@ def _packed(hashes: np.ndarray, keys: np.ndarray, places: np.ndarray, buckets: i
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(at), kind, np.int32)), packed, binary(k, cuts), binary(p, cuts)], ["bucket", "kind", "hashes", "keys", "places"])
 
 
-def _repeats(group: pa.Table) -> pa.Table:
-    """Places, by document, of the hashes of a bucket that occur more than once."""
+def _repeats(group: pa.Table, buckets: int) -> pa.Table:
+    """Places of the hashes of a bucket that occur more than once, packed and dealt by document."""
     kind = group["kind"].to_numpy()
     sent, known = group.filter(pa.array(kind == 0)), group.filter(pa.array(kind == 1))
     h, k, p = unpack(sent["hashes"], np.uint64), unpack(sent["keys"], np.int64), unpack(sent["places"], np.int32)
@@ -78,15 +78,23 @@ def _repeats(group: pa.Table) -> pa.Table:
     hit = order[marked[of] & (p[order] >= 0)] if len(h) else order
     k = np.concatenate([k[hit], unpack(known["keys"], np.int64)])
     p = np.concatenate([p[hit], unpack(known["places"], np.int32)])
+    at, cuts, (k, p) = by_bucket(bucket_of(mix(k.view(np.uint64)), buckets), k, p)
+    return pa.table({"part": pa.array(at, pa.int32()), "keys": binary(k, cuts), "places": binary(p, cuts)})
+
+
+def _by_document(group: pa.Table) -> pa.Table:
+    k, p = unpack(group["keys"], np.int64), unpack(group["places"], np.int32)
     order = np.lexsort((p, k))
     k, p = k[order], p[order]
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
     return pa.table({"k": pa.array(k[first], pa.int64()), "places": binary(p, np.r_[first, len(k)].astype(np.int64))})
 
 
-def _exchange(rows: DataFrame) -> DataFrame:
-    """(k, places): of each document, the places found, as an array of binaries."""
-    return rows.groupBy("bucket").applyInArrow(_repeats, FOUND).groupBy("k").agg(F.collect_list("places").alias("places"))
+def _exchange(rows: DataFrame, buckets: int) -> DataFrame:
+    """(k, places): of each document, the places found, as one binary. Both exchanges send packed entries, so their rows do not grow with the
+    number of buckets that a document's places are spread over."""
+    found = rows.groupBy("bucket").applyInArrow(lambda group: _repeats(group, 4 * buckets), "part int, keys binary, places binary")
+    return found.groupBy("part").applyInArrow(_by_document, FOUND)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
@@ -129,7 +137,7 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIO
 
         yield from _flushed(parts(), buckets)
 
-    found = stored(_exchange(keyed.mapInArrow(anchors, ROWS)), "anchors")
+    found = stored(_exchange(keyed.mapInArrow(anchors, ROWS), buckets), "anchors")
     count = found.count()
     # a merge join: each stage then runs one Python operator, and so one worker a core
     held = keyed.filter(bloom.may_have(spark, bloom.build(found.select("k"), count), F.col("k"))).join(found.hint("merge"), "k")
@@ -141,7 +149,7 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIO
                 g, at = grams(h, bounds, window)
                 near = np.zeros(len(h) + 1, np.int32)
                 for row, places in zip(range(hi - lo), batch["places"][lo:hi].to_pylist()):
-                    p = np.frombuffer(b"".join(places), np.int32).astype(np.int64)
+                    p = np.frombuffer(places, np.int32).astype(np.int64)
                     np.add.at(near, bounds[row] + np.maximum(p - period + 1, 0), 1)  # starts from p - period + 1 to p can hold the anchor
                     np.add.at(near, bounds[row] + p + 1, -1)
                 ok = np.cumsum(near)[at] > 0
@@ -150,13 +158,13 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, period: int = PERIO
 
         yield from _flushed(parts(), windows)
 
-    return _exchange(held.select("k", "text", "places").mapInArrow(candidates, ROWS))
+    return _exchange(held.select("k", "text", "places").mapInArrow(candidates, ROWS), windows)
 
 
-def _covered(n: int, places: list, window: int) -> np.ndarray:
+def _covered(n: int, places: bytes, window: int) -> np.ndarray:
     """Which of n words lie in a window that starts at one of the places."""
     d = np.zeros(n + 1, np.int32)
-    p = np.unique(np.frombuffer(b"".join(places), np.int32))
+    p = np.unique(np.frombuffer(places, np.int32))
     d[p] += 1
     d[p + window] -= 1
     return np.cumsum(d[:-1]) > 0
