@@ -7,8 +7,10 @@ long ones are only probed.
 
 1. Sets are taken once over the texts; equal sets form one class, and only classes go on, so copies are never paired.
 2. The short-list prefixes are dealt by shingle (packed exchange), giving the inverted lists with two classes or more.
-3. Each list first links its members to its first member only; those pairs are verified and joined to components.
-4. Pairs of members of one list that are still in different components are formed and, if they occur in enough short lists, verified.
+3. Each list first links its members to its pivot only, the member that has the list's shingle first; those pairs are verified and joined to
+   components.
+4. Pairs of members of one list that are still in different components are formed and, if they occur in enough short lists and enough is left of
+   both sets where they first meet, verified.
    A large group of near copies is one component by then and forms no pairs.
 Verification is DivideSkip within a task: a document is the query, its short lists over the partners dealt to it are heap-merged, partners in
 too few are dropped, and the long ones are probed by binary search.
@@ -130,7 +132,8 @@ def describe(keyed: DataFrame, hot: np.ndarray, size: int, percent: int) -> Data
 
 
 def inverted_lists(described: DataFrame) -> DataFrame:
-    """(token, c, n, p, pn): members of the lists with two classes or more; p is the list's first member, pn its size."""
+    """(token, c, n, pos, p, pn, pp): members of the lists with two classes or more, and the token's position among a member's own. p is the
+    list's pivot, the member in which the token comes first: of a group of near copies the one with the fewest shingles of its own."""
     shingles = described.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     buckets = buckets_for(shingles / 8)
 
@@ -139,9 +142,9 @@ def inverted_lists(described: DataFrame) -> DataFrame:
         seen: set = set()
 
         def packed():
-            c, size, p = (np.concatenate(x) for x in zip(*have))
-            at, cuts, (p, c, size) = by_bucket(bucket_of(p, buckets), p, c, size)
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), binary(p, cuts), binary(c, cuts), binary(size, cuts)], ["bucket", "tokens", "cs", "ns"])
+            c, size, pos, p = (np.concatenate(x) for x in zip(*have))
+            at, cuts, (p, c, size, pos) = by_bucket(bucket_of(p, buckets), p, c, size, pos)
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), binary(p, cuts), binary(c, cuts), binary(size, cuts), binary(pos, cuts)], ["bucket", "tokens", "cs", "ns", "places"])
 
         for batch in batches:
             for c, size, p in zip(batch["c"].to_pylist(), batch["n"].to_pylist(), batch["prefix"]):
@@ -149,7 +152,7 @@ def inverted_lists(described: DataFrame) -> DataFrame:
                     continue
                 seen.add(c)
                 p = np.frombuffer(p.as_buffer(), np.uint64)
-                have.append((np.full(len(p), c, np.int64), np.full(len(p), size, np.int32), mix(p)))
+                have.append((np.full(len(p), c, np.int64), np.full(len(p), size, np.int32), np.arange(len(p), dtype=np.int32), mix(p)))
                 n += len(p)
                 if n >= FLUSH:
                     yield packed()
@@ -159,21 +162,22 @@ def inverted_lists(described: DataFrame) -> DataFrame:
             yield packed()
 
     def lists(group: pa.Table) -> pa.Table:
-        t, c, n = unpack(group["tokens"], np.uint64), unpack(group["cs"], np.int64), unpack(group["ns"], np.int32)
-        order = np.lexsort((c, t))
-        t, c, n = t[order], c[order], n[order]
+        t, c, n, pos = unpack(group["tokens"], np.uint64), unpack(group["cs"], np.int64), unpack(group["ns"], np.int32), unpack(group["places"], np.int32)
+        order = np.lexsort((c, pos, t))  # a class has a token at one position, so its repeats are neighbours
+        t, c, n, pos = t[order], c[order], n[order], pos[order]
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        t, c, n = t[new], c[new], n[new]
+        t, c, n, pos = t[new], c[new], n[new], pos[new]
         head = np.ones(len(t), bool)
         head[1:] = t[1:] != t[:-1]
         of = np.cumsum(head) - 1
         first = np.flatnonzero(head)
         many = np.bincount(of, minlength=len(first))[of] > 1
-        return pa.table({"token": t[many].view(np.int64), "c": c[many], "n": n[many].astype(np.int64), "p": c[first][of][many], "pn": n[first][of][many].astype(np.int64)})
+        whose = first[of][many]
+        return pa.table({"token": t[many].view(np.int64), "c": c[many], "n": n[many].astype(np.int64), "pos": pos[many].astype(np.int64), "p": c[whose], "pn": n[whose].astype(np.int64), "pp": pos[whose].astype(np.int64)})
 
-    rows = described.select("c", "n", "prefix").mapInArrow(deal, "bucket int, tokens binary, cs binary, ns binary")
-    return rows.groupBy("bucket").applyInArrow(lists, "token long, c long, n long, p long, pn long")
+    rows = described.select("c", "n", "prefix").mapInArrow(deal, "bucket int, tokens binary, cs binary, ns binary, places binary")
+    return rows.groupBy("bucket").applyInArrow(lists, "token long, c long, n long, pos long, p long, pn long, pp long")
 
 
 def may_link(a, b, percent: int):
@@ -264,18 +268,27 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     near = may_link(F.col("n"), F.col("pn"), percent)
     # T - L: a pair must share so many short lists, the longest prefix of the two leaving the rest
     short = lambda a, b: F.ceil((a + b) * percent / (100 + percent)) - F.greatest(F.ceil(a * percent / 100), F.ceil(b * percent / 100)) + 1
-    stars = lists.filter((F.col("c") != F.col("p")) & near).groupBy(F.col("p").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("times"), F.max("n").alias("n"), F.max("pn").alias("pn"))
-    stars = stored(stars.filter(F.col("times") >= short(F.col("n"), F.col("pn"))).select("a", "b"), "stars")
+    # T: and from the first shingle that two sets share on, the shorter rest must hold all of the overlap
+    need = lambda a, b: F.ceil((a + b) * percent / (100 + percent))
+    low, high = F.least("p", "c"), F.greatest("p", "c")
+    stars = lists.filter((F.col("c") != F.col("p")) & near).groupBy(low.alias("lo"), high.alias("hi")).agg(
+        F.count("*").alias("times"), F.count_if(F.col("p") == low).alias("as_low"), F.max(F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("pp"))).alias("rest"), F.max(F.least("n", "pn")).alias("n"), F.max(F.greatest("n", "pn")).alias("pn"),
+    )
+    # a star may be tried on half the lists, since two members can have other pivots in the others: what it misses is among the pairs below
+    stars = stars.filter((F.col("times") * 2 >= short(F.col("n"), F.col("pn"))) & (F.col("rest") >= need(F.col("n"), F.col("pn"))))
+    as_low = F.col("as_low") * 2 >= F.col("times")
+    stars = stored(stars.select(F.when(as_low, F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(as_low, F.col("hi")).otherwise(F.col("lo")).alias("b")), "stars")
     links = stored(verified(stars, described, keyed, hot, size, percent), "links")
     comp = components(links)
-    with_root = lists.select("token", "c", "n").join(comp, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    with_root = lists.select("token", "c", "n", "pos").join(comp, "c", "left").withColumn("root", F.coalesce("root", "c"))
     active = with_root.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
     rows = with_root.join(active, "token", "left_semi")
 
     def cross(group: pa.Table) -> pa.Table:
         """Pairs of members of the bucket's lists that are in different components, and in how many of them."""
         group = group.sort_by([("token", "ascending"), ("n", "ascending")])
-        t, c, n, r = (group[x].to_numpy() for x in ("token", "c", "n", "root"))
+        t, c, n, r, rest = (group[x].to_numpy() for x in ("token", "c", "n", "root", "pos"))
+        rest = n - rest
         cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
         out = []
         for lo, hi in zip(cut[:-1], cut[1:]):
@@ -285,16 +298,22 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
                 ys = ys[r[ys] != r[x]]
                 if len(ys):
                     swap = c[ys] < c[x]
-                    out.append(np.stack([np.where(swap, c[ys], c[x]), np.where(swap, c[x], c[ys]), np.where(swap, n[ys], n[x]), np.where(swap, n[x], n[ys])]))
+                    ok = np.minimum(rest[ys], rest[x]) >= -(-(n[ys] + n[x]) * percent // (100 + percent))
+                    out.append(np.stack([np.where(swap, c[ys], c[x]), np.where(swap, c[x], c[ys]), np.where(swap, n[ys], n[x]), np.where(swap, n[x], n[ys]), ok]))
         if not out:
-            return pa.table({x: pa.array([], pa.int64()) for x in ("a", "b", "n", "pn", "times")})
-        pairs, times = np.unique(np.concatenate(out, axis=1), axis=1, return_counts=True)
-        return pa.table(dict(zip(("a", "b", "n", "pn"), pairs)) | {"times": times})
+            return pa.table({x: pa.array([], pa.int64()) for x in ("a", "b", "n", "pn", "times", "ok")})
+        every = np.concatenate(out, axis=1)
+        order = np.lexsort(every[1::-1])
+        every = every[:, order]
+        first = np.flatnonzero(np.r_[True, (every[0, 1:] != every[0, :-1]) | (every[1, 1:] != every[1, :-1])])
+        ok = np.add.reduceat(every[4], first)
+        return pa.table(dict(zip(("a", "b", "n", "pn"), every[:4, first])) | {"times": np.diff(np.r_[first, every.shape[1]]), "ok": ok})
 
     buckets = buckets_for(lists.count() * 4)
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-    crossed = dealt.groupBy("bucket").applyInArrow(cross, "a long, b long, n long, pn long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("n").alias("n"), F.max("pn").alias("pn"))
-    rest = crossed.filter(F.col("times") >= short(F.col("n"), F.col("pn"))).select("a", "b").join(stars, ["a", "b"], "left_anti")
+    crossed = dealt.groupBy("bucket").applyInArrow(cross, "a long, b long, n long, pn long, times long, ok long").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("n").alias("n"), F.max("pn").alias("pn"), F.sum("ok").alias("ok"))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = crossed.filter((F.col("ok") > 0) & (F.col("times") >= short(F.col("n"), F.col("pn")))).select("a", "b").join(tried, ["a", "b"], "left_anti")
     rest = stored(rest, "rest")
     if rest.take(1):
         comp = components(links.unionByName(verified(rest, described, keyed, hot, size, percent)))
