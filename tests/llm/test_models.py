@@ -196,3 +196,13 @@ def test_search_with_a_hot_vector(spark, seed):
     m = np.array([v for _, v in vectors])
     for q, s in score.items():
         assert len(s) == 20 and np.allclose(s, np.sort(np.delete(m @ m[q], q))[::-1][:20], rtol=0.15)
+
+
+def test_recall_where_lists_are_many(spark, monkeypatch):
+    """With lists far more than LISTS and no clusters to speak of, more lists are read until recall holds."""
+    monkeypatch.setattr(posting_ann, "LIST", 6)
+    x = np.random.default_rng(5).normal(size=(6000, 24)).astype(np.float32)
+    vectors = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    got = posting_ann.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(4), F.col("vec_id") % 20 == 0).collect()
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    assert np.mean([(q, v) in found for q, near in exact(vectors, range(0, 6000, 20)).items() for v in near]) >= 0.9
