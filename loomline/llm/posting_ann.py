@@ -13,7 +13,7 @@ smaller ids come first.
 
 Defined results: vectors that are null, all zero or hold null or non-finite components take no part, nor do those whose length is not the most
 common one (of equally common, the larger); rows with the query's id are not its candidates; a repeated query id is answered for each
-different vector; fewer candidates than asked for are all found; an empty table gives an empty result. Other columns are not read.
+different vector, and a row repeated with the same vector counts once; fewer candidates than asked for are all found; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -235,6 +235,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = rows.filter(F.size("v") == (sizes[0]["d"] if sizes else 0))
     if not sizes:
         return spark.createDataFrame([], f"query_id {kind}, rank int, `{id_col}` {kind}, score double")
+    rows = stored(rows.groupBy("id", "v").agg(F.max("q").alias("q")), "vectors")
     built = Index(rows.select("id", "v"))
     probe = Probe(built, rows, k)
     index = spark.sparkContext.broadcast(built)
@@ -246,7 +247,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     parts = posted.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     both = F.broadcast(parts.join(blocks, "list"))
-    left = posted.join(both, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "part", "block", "id", "v")
+    left = posted.join(both, "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "part", "block", "id", "v")
     right = asked.join(both, "list").withColumn("block", F.pmod(F.col("qk"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "block", "id", "qk", "v")
 
     def compare(held: pa.Table, queries: pa.Table) -> pa.Table:
@@ -255,12 +256,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             return pa.Table.from_batches([], pa.schema(schema))
         held = held.sort_by("id")
         x = _matrix(held["v"])
+        ids = held["id"].to_numpy()
+        again = np.r_[False, ids[1:] == ids[:-1]]  # other vectors of one id
         some = []
         for lo in range(0, queries.num_rows, 128):
             part = queries.slice(lo, 128)
             score = np.einsum("ij,kj->ik", _matrix(part["v"]), x)
-            own = part["id"].to_numpy()[:, None] == held["id"].to_numpy()[None, :]
-            order = np.argsort(np.where(own, np.inf, -score), 1, kind="stable")[:, : k + 1]  # stable: equal scores by id
+            own = part["id"].to_numpy()[:, None] == ids[None, :]
+            order = np.argsort(np.where(own, np.inf, -score), 1, kind="stable")  # stable: equal scores by id
+            if again.any():  # those of one score are one candidate, so they go last
+                s = np.take_along_axis(score, order, 1)
+                same = np.c_[np.zeros(len(order), bool), (ids[order][:, 1:] == ids[order][:, :-1]) & (s[:, 1:] == s[:, :-1])]
+                order = np.take_along_axis(order, np.argsort(same, 1, kind="stable"), 1)
+            order = order[:, : k + 1]
             row = np.repeat(np.arange(part.num_rows), order.shape[1])
             at = order.ravel()
             ok = ~own[row, at]

@@ -206,3 +206,12 @@ def test_recall_where_lists_are_many(spark, monkeypatch):
     got = posting_ann.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(4), F.col("vec_id") % 20 == 0).collect()
     found = {(r["query_id"], r["vec_id"]) for r in got}
     assert np.mean([(q, v) in found for q, near in exact(vectors, range(0, 6000, 20)).items() for v in near]) >= 0.9
+
+
+@pytest.mark.parametrize("second", [0.0, 1.0])
+def test_search_with_repeated_rows(spark, second):
+    """Thirty rows of one id, equal or equal in score alone, are one candidate and displace nobody."""
+    rows = [(0, [1.0, 0.0])] + [(1, [9.0, second * j]) for j in range(30)] + [(i, [5.0 - i / 100, 0.0]) for i in range(2, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted((r["rank"], r["vec_id"]) for r in posting_ann.nearest(df, F.col("vec_id") == 0).collect())
+    assert got == [(k, k) for k in range(1, 21)]
