@@ -3,9 +3,9 @@
 Vectors get one more coordinate that makes all lengths equal, so the largest inner product is the smallest distance. Centroids come from
 balanced clustering of a bounded sample, level by level; they are few enough to be held by every task together with a graph of their
 neighbours, which is searched best-first from several entries. Every vector goes to its nearest list, and a boundary vector to further ones
-up to REPLICAS whose centroids are nearly as near (CLOSURE). A query goes to the lists whose centroid is within a ratio (PRUNE) of its nearest
-centroid's distance, LISTS of them; both bounds are raised where the true neighbours of a bounded sample of queries, found by brute force,
-show that recall would stay under RECALL (Probe), so the share of lists read follows the data at any size. Lists longer than PART are cut into parts, and queries that meet in one list into blocks, so that a
+up to REPLICAS whose centroids are nearly as near (CLOSURE). A query goes to its LISTS nearest lists, or to more where the true neighbours
+of a bounded sample of queries, found by brute force, show that recall would stay under RECALL (lists_for), so the share of lists read follows
+the data at any size. Lists are not cut by distance: a query that is itself a centroid would keep too few. Lists longer than PART are cut into parts, and queries that meet in one list into blocks, so that a
 task compares one block with one part and returns the best few of each query; a vector held by a third of all rows is only more parts.
 
 Scores are inner products of the vectors as given, in double precision, each summed in the same order, so equal vectors tie exactly and
@@ -31,8 +31,8 @@ from loomline.llm.common import stored
 #: Vectors a list should hold, centroids at most, and vectors from which they are learnt at most (the bound of the sample).
 LIST, MOST_CENTROIDS, MOST_SAMPLE = 100, 16_384, 131_072
 REPLICAS, CLOSURE = 4, 1.15
-#: Lists a query at least, and the ratio at least; the recall both must reach over so many sampled queries.
-LISTS, PRUNE = 80, 1.8
+#: Lists a query at least, and the recall they must reach over so many sampled queries.
+LISTS = 80
 RECALL, MOST_ASKED = 0.95, 256
 PART, BLOCK = 2048, 1024
 DEGREE, BEAM, ENTRIES = 24, 96, 16
@@ -182,30 +182,23 @@ def _neighbours(rows: DataFrame, asked: pa.Table, k: int) -> pa.Table:
     return best.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k).select("a", "v").toArrow()
 
 
-class Probe:
-    """How many lists a query reads, and within which ratio of its nearest centroid's distance: LISTS and PRUNE, or what RECALL takes."""
-
-    def __init__(self, index: Index, rows: DataFrame, k: int):
-        self.lists, self.prune = LISTS, PRUNE
-        asked = rows.filter("q").select("id", "v", F.xxhash64(F.lit(6), "id", "v").alias("h")).orderBy("h").limit(MOST_ASKED).select("id", "v").toArrow()
-        near = _neighbours(rows, asked, k) if asked.num_rows else asked
-        if not near.num_rows:
-            return
-        x = _matrix(asked["v"])
-        order, d = index.graph.scan(np.concatenate([x, np.zeros((len(x), 1))], 1), len(index.graph.c))
-        rank = np.argsort(order, 1)
-        held, far = index.graph.search(_lifted(_matrix(near["v"]), index.longest), REPLICAS)
-        posted = far <= np.maximum(far[:, :1], 1e-12) * CLOSURE**2
-        posted[:, 0] = True
-        a = near["a"].to_numpy()
-        first = np.where(posted, rank[a[:, None], held], len(index.graph.c)).min(1)  # the neighbour's list that its query reaches first
-        ratio = np.sqrt(d[a, first] / np.maximum(d[a, 0], 1e-12))
-        least = int(np.ceil(RECALL * len(a)))
-        self.lists = max(LISTS, int(np.sort(first)[least - 1]) + 1)
-        self.prune = max(PRUNE, float(np.sort(ratio[first < self.lists])[least - 1]) * (1 + 1e-6))
-
-
-def _lists(index: Index, query: bool, probe: Probe | None = None):
+def lists_for(index: Index, rows: DataFrame, k: int) -> int:
+    """How many lists a query reads: LISTS, or as many as RECALL takes."""
+    asked = rows.filter("q").select("id", "v", F.xxhash64(F.lit(6), "id", "v").alias("h")).orderBy("h").limit(MOST_ASKED).select("id", "v").toArrow()
+    near = _neighbours(rows, asked, k) if asked.num_rows else asked
+    if not near.num_rows:
+        return LISTS
+    x = _matrix(asked["v"])
+    order, _ = index.graph.scan(np.concatenate([x, np.zeros((len(x), 1))], 1), len(index.graph.c))
+    rank = np.argsort(order, 1)
+    held, far = index.graph.search(_lifted(_matrix(near["v"]), index.longest), REPLICAS)
+    posted = far <= np.maximum(far[:, :1], 1e-12) * CLOSURE**2
+    posted[:, 0] = True
+    first = np.where(posted, rank[near["a"].to_numpy()[:, None], held], len(index.graph.c)).min(1)  # the neighbour's list that its query reaches first
+    return max(LISTS, int(np.sort(first)[int(np.ceil(RECALL * len(first))) - 1]) + 1)
+
+
+def _lists(index: Index, query: bool, lists: int = REPLICAS):
     """mapInArrow function: (id, v, ...) -> the same rows once for each list they belong to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +208,8 @@ def _lists(index: Index, query: bool, probe: Probe | None = None):
                 batch = whole.slice(lo, step)
                 x = _matrix(batch["v"])
                 x = np.concatenate([x, np.zeros((len(x), 1))], 1) if query else _lifted(x, index.value.longest)
-                ids, d = index.value.graph.scan(x, probe.lists) if query else index.value.graph.search(x, REPLICAS)
-                ok = d <= np.maximum(d[:, :1], 1e-12) * (probe.prune if query else CLOSURE) ** 2
+                ids, d = index.value.graph.scan(x, lists) if query else index.value.graph.search(x, lists)
+                ok = np.full(d.shape, query) | (d <= np.maximum(d[:, :1], 1e-12) * CLOSURE**2)
                 ok[:, 0] = True
                 row, at = np.nonzero(ok)
                 got = batch.take(pa.array(row))
@@ -237,12 +230,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return spark.createDataFrame([], f"query_id {kind}, rank int, `{id_col}` {kind}, score double")
     rows = stored(rows.groupBy("id", "v").agg(F.max("q").alias("q")), "vectors")
     built = Index(rows.select("id", "v"))
-    probe = Probe(built, rows, k)
+    lists = lists_for(built, rows, k)
     index = spark.sparkContext.broadcast(built)
     element = vectors.schema[vector_col].dataType.simpleString()
     posted = stored(rows.select("id", "v").mapInArrow(_lists(index, False), f"list int, id {kind}, v {element}"), "postings")
     asked = rows.filter("q").select("id", "v").withColumn("qk", F.xxhash64("id", "v")).dropDuplicates(["qk", "id"])
-    asked = stored(asked.mapInArrow(_lists(index, True, probe), f"list int, id {kind}, v {element}, qk long"), "asked")
+    asked = stored(asked.mapInArrow(_lists(index, True, lists), f"list int, id {kind}, v {element}, qk long"), "asked")
     # a line for each centroid at most
     parts = posted.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

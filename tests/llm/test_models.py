@@ -215,3 +215,12 @@ def test_search_with_repeated_rows(spark, second):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     got = sorted((r["rank"], r["vec_id"]) for r in posting_ann.nearest(df, F.col("vec_id") == 0).collect())
     assert got == [(k, k) for k in range(1, 21)]
+
+
+def test_search_of_queries_that_are_centroids(spark):
+    """A few vectors far from all others get lists of their own; their queries still find as many as asked for."""
+    x = np.random.default_rng(6).normal(size=(3000, 8)).astype(np.float32)
+    x[::100] = x[::100] * 1e-3 + np.eye(8, dtype=np.float32)[np.arange(30) % 8] * 40
+    vectors = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    got = posting_ann.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0)
+    assert {r["count"] for r in got.groupBy("query_id").count().collect()} == {20} and got.count() == 150 * 20
