@@ -55,10 +55,10 @@ def _guard(t: Tables) -> DataFrame:
 @query("t17_spelling_pairs")
 def _pairs(t: Tables) -> DataFrame:
     """Words of the benchmark with vocabulary terms within distance 1 that share a trigram."""
-    words = t.benchmark.select(F.explode(text.token_array(F.col("text"))).alias("word")).distinct().filter(F.length("word") >= 6)
-    terms = t.documents.filter("lang = 'en'").select(F.explode(text.token_array(F.col("text"))).alias("term")).distinct().filter(F.length("term") >= 5)
+    words = t.benchmark.select(F.explode(text.token_array(F.col("text"))).alias("word")).distinct()
+    terms = t.documents.select(F.explode(text.token_array(F.col("text"))).alias("term")).distinct()
     shared = F.size(F.array_intersect(setlike.trigrams(F.col("word")), setlike.trigrams(F.col("term"))))
-    close = setlike.one_edit_neighbours(words, terms).filter((F.col("word") != F.col("term")) & (shared >= F.greatest(F.lit(1), F.length("word") - 5)))
+    close = setlike.one_edit_neighbours(words, terms).filter((F.col("word") != F.col("term")) & (shared > 0))
     return close.withColumn("distance", text.osa("word", "term", F.lit(1))).filter("distance <= 1").select("word", "term", "distance")
 
 
