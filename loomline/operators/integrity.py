@@ -41,9 +41,11 @@ def by_content(blobs: DataFrame, data: str = "text", key: str = "doc_id") -> Dat
 
 
 def probe(new: DataFrame, stored: DataFrame, edge: int = 65_536) -> DataFrame:
-    """Which stored blob a new one equals without reading it whole: same signature and size, same first and last bytes. (key, same_as)."""
-    ends = lambda d, k: d.select(F.col("key").alias(k), "sig", F.octet_length("data").alias("size"), F.xxhash64(F.expr(f"substring(data, 1, {edge})")).alias("a"), F.xxhash64(F.expr(f"substring(data, greatest(octet_length(data) - {edge - 1}, 1), {edge})")).alias("b"))
-    return ends(new, "key").join(ends(stored, "other"), ["sig", "size", "a", "b"]).filter("key != other").groupBy("key").agg(F.min("other").alias("same_as"))
+    """Which stored blob a new one equals: same signature and size, same first and last bytes, and the same sha256 where these leave a middle.
+    (key, same_as)."""
+    middle = F.when(F.octet_length("data") > 2 * edge, F.sha2("data", 256)).otherwise("")
+    ends = lambda d, k: d.select(F.col("key").alias(k), "sig", F.octet_length("data").alias("size"), F.xxhash64(F.expr(f"substring(data, 1, {edge})")).alias("a"), F.xxhash64(F.expr(f"substring(data, greatest(octet_length(data) - {edge - 1}, 1), {edge})")).alias("b"), middle.alias("m"))
+    return ends(new, "key").join(ends(stored, "other"), ["sig", "size", "a", "b", "m"]).filter("key != other").groupBy("key").agg(F.min("other").alias("same_as"))
 
 
 def due(blobs: DataFrame, budget: int) -> DataFrame:

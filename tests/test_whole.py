@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 from test_text import plain_osa
 
 from loomline import plans
+from loomline.operators import integrity
 
 
 def test_spelling_pairs(spark, tmp_path):
@@ -15,3 +17,9 @@ def test_spelling_pairs(spark, tmp_path):
     want = {(w, x) for w in words for x in terms if w != x and plain_osa(w, x) <= 1 and grams(w) & grams(x)}
     assert ("abcdefgh", "abcedfgh") in want
     assert {(r["word"], r["term"]) for r in plans.queries()["t17_spelling_pairs"](spark, str(tmp_path)).collect()} == want
+
+
+def test_probe_sees_the_middle(spark):
+    long = lambda c: "a" * 70_000 + c + "z" * 70_000
+    d = spark.createDataFrame([(1, long("x")), (2, long("y")), (3, long("x"))], "key long, data string").select("key", F.lit("s").alias("sig"), F.col("data").cast("binary").alias("data"))
+    assert {tuple(r) for r in integrity.probe(d, d).collect()} == {(1, 3), (3, 1)}
