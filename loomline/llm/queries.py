@@ -131,7 +131,7 @@ def op6_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.linked(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("k")
+    return jaccard_join.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,11 +54,14 @@ def test_near_components(docs, rows):
     assert len({c for _, c in got.values()}) < len(got)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_components_of_close_cases(spark, seed):
-    """Texts of a small vocabulary, changed step by step: similarities on both sides of the threshold, and chains of links."""
+@pytest.mark.parametrize(("seed", "most"), [(1, jaccard_join.MOST), (2, jaccard_join.MOST), (1, 200), (2, 90)])
+def test_near_components_of_close_cases(spark, monkeypatch, seed, most):
+    """Texts of a small vocabulary, changed step by step: similarities on both sides of the threshold, and chains of links. Also with large
+    families, which are dealt to blocks."""
     import random
 
+    monkeypatch.setattr(jaccard_join, "MOST", most)
+
     rng = random.Random(seed)
     rows, w = [], [f"a{rng.randrange(30)}" for _ in range(60)]
     for i in range(90):
@@ -73,8 +76,10 @@ def test_near_components_of_close_cases(spark, seed):
     assert components(jaccard_join.linked(df)) == brute.near_components(rows)
 
 
-def test_near_components_with_frequent_shingles(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "HOT_LEAST", 2)
+@pytest.mark.parametrize("most", [jaccard_join.MOST, 400])
+def test_near_components_with_frequent_shingles(spark, monkeypatch, most):
+    """Also with families dealt to blocks."""
+    monkeypatch.setattr(jaccard_join, "MOST", most)
     head = " ".join(f"h{k}" for k in range(40))
     rows = [(i, f"{head} {' '.join(f'v{i % 7}x{k}' for k in range(i % 30))} u{i}") for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -91,6 +96,59 @@ def test_near_copies_edges(docs, rows, nulls, empty):
     assert twice.count() == 2 * len(rows) and components(twice) == want
 
 
+def test_divide_skip_reports_all_that_can_reach_the_overlap():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        n, docs = rng.randint(1, 40), rng.randint(1, 12)
+        share = rng.random()
+        lists = [sorted(x for x in range(docs) if rng.random() < share) for _ in range(n)]
+        lists = [x for x in lists if x]
+        need = jaccard_join.at_least(n, 75)
+        got = list(jaccard_join.divide_skip(lists, n, 75))
+        times = {d: t + sum(d in x for x in probe) for d, t, probe in got}
+        assert len(times) == len(got) and all(t == sum(d in x for x in lists) for d, t in times.items())
+        assert {d for d, t in times.items() if t >= need} == {d for d in range(docs) if sum(d in x for x in lists) >= need}
+
+
+def test_near_copies_of_one_group_are_linear_in_edges():
+    import random
+
+    rng = random.Random(2)
+    base = list(range(200))
+    items = []
+    for k in range(400):
+        mine = base.copy()
+        for at in rng.sample(range(200), rng.choice([2, 10, 30])):
+            mine[at] = 1000 + 200 * k + at
+        items.append(np.sort(np.array(mine, np.uint64)))
+    every = np.ones(400, bool)
+    edges = jaccard_join.search(items, np.arange(400), every, every, 75)
+    forest, want = jaccard_join.Forest(400), jaccard_join.Forest(400)
+    for x, y in edges:
+        assert forest.join(x, y)  # no edge within a component
+    for x in range(400):
+        for y in range(x):
+            both = len(np.intersect1d(items[x], items[y]))
+            if 100 * both >= 75 * (400 - both):
+                want.join(x, y)
+    assert [forest.root(x) for x in range(400)] == [want.root(x) for x in range(400)]
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows, equal ids, null ids."""
+    a = " ".join(f"w{k}" for k in range(60))
+    b, c = a + " more", a + " other words"
+    rows = [(1, a, "x"), (1, a, "y"), (2, b, "x"), (None, c, "x"), (7, "alone here", "x"), (7, "alone here", "y"), (8, "", "x"), (8, None, "y"), (9, "q r s t u v", "x"), (9, "q r s t u v w x y z", "x")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(1, a), (7, "alone here"), (8, ""), (9, "q r s t u v"), (9, "q r s t u v w x y z")]
+    same = spark.createDataFrame([(None, a, "x"), (None, b, "x"), (None, c, "x")], "doc_id long, text string, source string")
+    assert jaccard_join.one_of_each(same).count() == 1
+    equal = spark.createDataFrame([(3, a, "x"), (3, b, "x"), (4, c, "x")], "doc_id long, text string, source string")
+    assert [r["doc_id"] for r in jaccard_join.one_of_each(equal).collect()] == [3]
+
+
 def cut(df) -> dict:
     return {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in df.collect()}
 
