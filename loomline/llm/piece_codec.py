@@ -27,9 +27,10 @@ from loomline.llm.textkit import HashIndex, mix
 
 SPACE = "▁"
 #: Chunks that a worker keeps; when there are more they become the older half, from which those met again return.
-KEPT = 150_000
-#: Chunks of at most so many characters are merged many at once.
-WIDE = 20
+KEPT = 400_000
+#: Chunks of at most so many characters are merged many at once, those within the same step together.
+STEPS = (4, 7, 10, 13, 20)
+WIDE = STEPS[-1]
 
 
 class Codec:
@@ -46,8 +47,8 @@ class Codec:
         self.rank = {p: -lib.get_score(k) for p, k in self.ids.items()}
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         known = {c for p in self.ids for c in p}
-        assert not any(SPACE in p.lstrip(SPACE) for p in self.ids), "a piece holds a space after another character"
-        assert "\n" not in known, "a piece holds a line feed"
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids) or "\n" in known:
+            raise ValueError("a piece holds a space after another character, or a line feed: texts do not fall into chunks")
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.newline = self.bytes[10]
         self.met: dict[str, tuple[str, tuple[int, ...]]] = {}
@@ -62,9 +63,10 @@ class Codec:
         left, right, whole = (np.array(x, np.int64) for x in zip(*two))
         key = mix((left * (1 << 20) + right).astype(np.uint64))
         order = np.argsort(key)
-        self.pairs, self.pair_id = HashIndex(key[order]), whole[order]
-        scores = np.array([lib.get_score(k) for k in range(n)])
-        self.pair_rank = -scores[self.pair_id]
+        self.pairs, self.pair_id = HashIndex(key[order]), whole[order].astype(np.int32)
+        # ranks, not scores: whole numbers below 2**24 are exact in single precision
+        score = -np.array([lib.get_score(k) for k in range(n)])
+        self.pair_rank = np.unique(score, return_inverse=True)[1].astype(np.float32)[self.pair_id]
 
     def merge(self, chunk: str) -> list[int]:
         """The ids of a chunk by the agenda."""
@@ -104,49 +106,55 @@ class Codec:
         return out
 
     def merge_many(self, chunks: list[str]) -> list[list[int]]:
-        """The ids of many chunks. Short ones are rows of a matrix, each with its agenda as a row of scores; every round takes the best pair
-        of each row. Long ones, and those with characters that are in no piece, have a heap of their own."""
+        """The ids of many chunks. Short ones are merged many at once, those of like length together; long ones, and those with characters
+        that are in no piece, have a heap of their own."""
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         start = np.r_[0, np.cumsum(size)]
         char = self.char_id[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
         short = (size <= WIDE) & (np.minimum.reduceat(char, start[:-1]) >= 0)
         out = [None if ok else self.merge(c) for ok, c in zip(short.tolist(), chunks)]
-        if not short.any():
-            return out
-        n = size[short]
-        wide = int(n.max())
-        sym = np.full((len(n), wide + 1), -1, np.int64)
-        sym[:, :wide][np.arange(wide) < n[:, None]] = char[np.repeat(short, size)]
-        agenda, made = self.look(sym[:, :-1], sym[:, 1:])
-        step = np.arange(wide + 1)
-        live = np.arange(len(n))
+        for lo, hi in zip((0, *STEPS), STEPS):
+            rows = np.flatnonzero(short & (size > lo) & (size <= hi))
+            if len(rows):
+                n = size[rows]
+                sym = np.full((len(rows), hi + 1), -1, np.int32)
+                sym[:, :hi][np.arange(hi) < n[:, None]] = char[np.repeat(start[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                for k, ids in zip(rows.tolist(), self.merge_rows(sym)):
+                    out[k] = ids
+        return out
+
+    def merge_rows(self, sym: np.ndarray) -> list[list[int]]:
+        """Rows of symbols (-1: none, at least one at the end), each a chain with its agenda as a row of scores; every round takes the best
+        pair of each row, the first of equal ones, and looks up the two new neighbours."""
+        rows, wide = sym.shape
+        agenda, made = np.full(sym.shape, np.inf, np.float32), np.zeros(sym.shape, np.int32)
+        agenda[:, :-1], made[:, :-1] = self.look(sym[:, :-1], sym[:, 1:])
+        after = np.broadcast_to(np.minimum(np.arange(1, wide + 1), wide - 1), sym.shape).copy()
+        before = np.broadcast_to(np.arange(-1, wide - 1), sym.shape).copy()
+        live = np.arange(rows)
         while len(live):
             best = agenda[live].argmin(1)
             go = agenda[live, best] < np.inf
             live, best = live[go], best[go]
-            if not len(live):
-                break
+            gone = after[live, best]
+            then = after[live, gone]
             sym[live, best] = made[live, best]
-            shift = np.minimum(step + (step > best[:, None]), wide)
-            sym[live] = np.take_along_axis(sym[live], shift, 1)
-            sym[live, wide] = -1
-            shift = np.minimum(step[:-1] + (step[:-1] > best[:, None]), wide - 1)
-            agenda[live] = np.take_along_axis(agenda[live], shift, 1)
-            made[live] = np.take_along_axis(made[live], shift, 1)
-            agenda[live, wide - 1] = np.inf
-            agenda[live, best], made[live, best] = self.look(sym[live, best], sym[live, best + 1])
-            some = best > 0
-            left, b = live[some], best[some] - 1
-            agenda[left, b], made[left, b] = self.look(sym[left, b], sym[left, b + 1])
-        for k, row, m in zip(np.flatnonzero(short).tolist(), sym.tolist(), (sym >= 0).sum(1).tolist()):
-            out[k] = row[:m]
-        return out
+            sym[live, gone] = -1
+            agenda[live, gone] = np.inf
+            after[live, best] = then
+            before[live, then] = best
+            left = before[live, best]
+            some = left >= 0
+            row, at = np.r_[live, live[some]], np.r_[best, left[some]]
+            agenda[row, at], made[row, at] = self.look(sym[row, at], sym[row, np.r_[then, best[some]]])
+        ids, cuts = sym[sym >= 0].tolist(), np.r_[0, np.cumsum((sym >= 0).sum(1))].tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores (lower is earlier, infinite: no piece) and ids of pairs of pieces."""
-        found = self.pairs.find(mix((left * (1 << 20) + right).astype(np.uint64).ravel())).reshape(left.shape)
+        found = self.pairs.find(mix((left.astype(np.int64) * (1 << 20) + right).astype(np.uint64).ravel())).reshape(left.shape)
         found[(left < 0) | (right < 0)] = -1
-        return np.where(found < 0, np.inf, self.pair_rank[found]), self.pair_id[found]
+        return np.where(found < 0, np.float32(np.inf), self.pair_rank[found]), self.pair_id[found]
 
     def split(self, text: str) -> list[str]:
         """Chunks of a text; a line feed is one of its own."""
@@ -161,6 +169,7 @@ class Codec:
         """Encode chunks not met before and check them against the library. The library puts a space in front of what it encodes, so
         chunks without one of their own are sent behind a line feed."""
         asked = self.library.encode(["\n" + c if c[0] != SPACE else c[1:] for c in new], num_threads=1)
+        text, number = self.text, self.number
         for c, mine, theirs in zip(new, self.merge_many(new), asked):
             if c[0] != SPACE:
                 theirs = theirs[theirs.index(self.newline) + 1 :]
@@ -168,7 +177,7 @@ class Codec:
                 theirs = mine  # the library has no text for a lone space; the decoded text shows it
             if mine != theirs:
                 raise ValueError(f"agenda and library differ on {c!r}: {mine} and {theirs}")
-            self.met[c] = (",".join([self.text[k] for k in mine]), tuple([self.number[k] for k in mine]))
+            self.met[c] = (",".join([text[k] for k in mine]), tuple([number[k] for k in mine]))
 
     def encode_batch(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...]]]]:
         """For each text the entries of its chunks."""
