@@ -46,7 +46,6 @@ class Archive:
 
     def __init__(self, spark: SparkSession, root: str, owner: int, history: DataFrame | None = None):
         self.spark, self.root, self.owner, self.history = spark, root, owner, history
-        self._index: search.Index | None = None
 
     def table(self, name: str) -> DataFrame:
         """A table of the version that is current now."""
@@ -56,9 +55,9 @@ class Archive:
         return self.spark.read.parquet(f"{at}/{name}")
 
     def index(self) -> search.Index:
-        if self._index is None:
-            self._index = search.build(self.table("search_docs"))
-        return self._index
+        """Lies with the version it is of, and is written when that is first searched."""
+        root = f"{sinks.current(self.spark, self.root)}/search"
+        return search.opened(self.spark, root) or search.write(self.table("search_docs"), root)
 
     def search(self, query: str, where: str = "all", since: str | None = None, until: str | None = None, year: int | None = None, sort: str = "rank", limit: int = 20, page: int = 1, exact: bool = False) -> DataFrame:
         """A page of hits with their snippets: corrected words unless exact; at most 50 a page."""

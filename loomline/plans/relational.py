@@ -468,12 +468,12 @@ def _ident(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", kind.alias("kind"), value.alias("value"))
 
 
-@query("src9_month_slices", "SELECT unnest(range(DATE '2024-01-01', DATE '2024-05-01', INTERVAL 1 MONTH))::DATE AS slice")
+@query("src9_month_slices", "SELECT unnest(range(date_trunc('month', min(ts))::DATE, date_trunc('month', max(ts)::DATE + INTERVAL 2 DAY)::DATE + INTERVAL 1 MONTH, INTERVAL 1 MONTH))::DATE AS slice FROM events")
 def _slices(t: Tables) -> DataFrame:
     from loomline.functions.calendar import month_slices
 
-    bounds = t.events.agg(F.min("ts").alias("a")).select(F.to_date("a").alias("a"), F.to_date(F.lit("2024-04-29")).alias("b"))
-    return bounds.select(F.explode(month_slices(F.col("a"), F.col("b"))).alias("slice")).filter("slice < date '2024-05-01'")
+    bounds = t.events.agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b"))
+    return bounds.select(F.explode(month_slices(F.col("a"), F.col("b"))).alias("slice"))
 
 
 @query("snk8_largest_that_fits", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, sum(n_chars + 1) OVER (ORDER BY doc_id) AS upto FROM documents) WHERE upto <= 29700 OR k = 1")

@@ -77,9 +77,9 @@ def _slug(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.slug(F.concat(F.lit("https://x.org/"), "page_id", F.lit("-"), "url")).alias("slug"))
 
 
-@query("t22_diff_words", r"SELECT conv_id, turn, regexp_extract_all(text, '\s*\S+|\s+') AS words FROM conversations WHERE turn < 2")
+@query("t22_diff_words", r"SELECT conv_id, turn, regexp_extract_all(text, '\s*\S+|\s+') AS words FROM conversations")
 def _diff_words(t: Tables) -> DataFrame:
-    return t.conversations.filter("turn < 2").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(r"\s*\S+|\s+"), F.lit(0)).alias("words"))
+    return t.conversations.select("conv_id", "turn", F.regexp_extract_all("text", F.lit(r"\s*\S+|\s+"), F.lit(0)).alias("words"))
 
 
 @query("dt1_periods", "SELECT event_id, strftime(ts + INTERVAL 3 HOUR, '%Y') AS y, strftime(ts + INTERVAL 3 HOUR, '%Y-%m') AS m, strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%d') AS d, strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 import uuid
 
@@ -44,6 +45,16 @@ def current(spark: SparkSession, root: str) -> str | None:
     return f"{root}/versions/{row['version']}" if row and row["view_format"] == VIEW_FORMAT else None
 
 
+def versions_of(spark: SparkSession, files: list[str]) -> str:
+    """A hash of the names, sizes and times of files."""
+    seen = hashlib.sha256()
+    for f in sorted(files):
+        p, fs = _path(spark, f)
+        status = fs.getFileStatus(p)
+        seen.update(f"{f}\n{status.getLen()}\n{status.getModificationTime()}\n".encode())
+    return seen.hexdigest()
+
+
 def sparse_lines(df: DataFrame, path: str) -> None:
     """JSON lines without keys that are null or empty."""
     kept = [F.when(F.length(F.col(c)) > 0, F.col(c)).alias(c) if t == "string" else F.when(F.size(c) > 0, F.col(c)).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]

@@ -159,7 +159,7 @@ def test_sinks(spark, tmp_path):
     text = spark.createDataFrame([(1, "\n\n".join(["p" * 40] * 5))], "id long, text string")
     assert sorted(len(r["text"]) for r in sinks.parts(text, 80).collect()) == [40, 82, 82]
     sinks.markdown(spark.createDataFrame([("n", {"title": "T"}, "body")], "name string, front map<string,string>, body string"), str(tmp_path / "md"))
-    assert spark.read.option("wholetext", True).text(str(tmp_path / "md")).first()["value"].startswith('---\ntitle: "T"\n---\n\nbody')
+    assert spark.read.text(str(tmp_path / "md"), wholetext=True).first()["value"].startswith('---\ntitle: "T"\n---\n\nbody')
 
 
 def test_sets_and_pages(spark):
