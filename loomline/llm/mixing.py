@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from loomline.llm.common import skew_join
+from loomline.llm.common import skew_join, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the seeded hash that make a bucket: 16**3 buckets a source.
@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, max_epochs: float = 3.0, cycle: int = 3) -> DataFr
 
 def mix_plan(rows: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     """rows: (src, size, u, id) -> a line per source: src, rows, source_size, target, whole, cut_u."""
-    sums = rows.groupBy("src", F.substring("u", 1, BUCKET_DIGITS).alias("b")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
+    sums = stored(rows.groupBy("src", F.substring("u", 1, BUCKET_DIGITS).alias("b")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "sums")
     by_source = targets(sums.groupBy("src").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")), max_epochs)
     plan = by_source.withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long")).withColumn("more", F.col("target") - F.col("whole") * F.col("size"))
     s = sums.select(F.col("src").alias("s_src"), "b", F.col("size").alias("b_size"))
@@ -72,19 +72,36 @@ def mix_plan(rows: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: float = 3.0, seed: int = 11) -> DataFrame:
-    """docs with __size, __source_size, __target, and __times: how often the mix takes the document."""
-    narrow = docs.select(F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), draw(id_col, seed).alias("u"))
-    plan = mix_plan(narrow, max_epochs)
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
+    """(id, src, size, u), written once: all that the plan reads."""
+    return stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), draw(id_col, seed).alias("u")), "sizes")
+
+
+def _planned(rows: DataFrame, sizes: DataFrame, max_epochs: float) -> DataFrame:
+    """rows with __src, __any (there are words) and __u -> also __source_size, __target and __times."""
+    plan = stored(mix_plan(sizes, max_epochs), "plan")
     total, sources = plan.agg(F.sum("rows"), F.count("*")).first()
     lines = plan.select(F.col("src").alias("__src"), F.col("rows").alias("__rows"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("cut_u").alias("__cut_u"))
-    rows = docs.withColumns({"__src": F.col(source_col), "__size": word_count(F.col(text_col)), "__u": draw(id_col, seed)})
     if sources <= MAX_BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(lines.drop("__rows").withColumnRenamed("__src", "__p")), F.col("__src").eqNullSafe(F.col("__p")))
     else:
         joined = skew_join(rows, lines, "__src", "__rows", total or 0)
-    times = F.when(F.col("__size") > 0, F.col("__whole") + (F.col("__u") <= F.col("__cut_u")).cast("long")).otherwise(F.lit(0).cast("long"))
-    return joined.withColumn("__times", times).select(*docs.columns, "__size", "__source_size", "__target", "__times")
+    return joined.withColumn("__times", F.when(F.col("__any"), F.col("__whole") + (F.col("__u") <= F.col("__cut_u")).cast("long")).otherwise(F.lit(0).cast("long")))
+
+
+def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: float = 3.0, seed: int = 11) -> DataFrame:
+    """id, size, source_size, target and times of each row of docs; texts are read once."""
+    sizes = measured(docs, id_col, text_col, source_col, seed)
+    rows = sizes.select("id", F.col("src").alias("__src"), "size", F.col("u").alias("__u"), (F.col("size") > 0).alias("__any"))
+    return _planned(rows, sizes, max_epochs).select("id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__times").alias("times"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: float = 3.0, seed: int = 11) -> DataFrame:
+    """docs with __size, __source_size, __target, and __times: how often the mix takes the document."""
+    sizes = measured(docs, id_col, text_col, source_col, seed)
+    any_word = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))  # finds the first word; sizes are not counted again where they are not asked for
+    rows = docs.withColumns({"__src": F.col(source_col), "__size": word_count(F.col(text_col)), "__u": draw(id_col, seed), "__any": any_word})
+    return _planned(rows, sizes, max_epochs).select(*docs.columns, "__size", "__source_size", "__target", "__times")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:

@@ -14,8 +14,8 @@ def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__times") * F.col("__size")).alias("taken"))
+    out = mixing.mixed_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
 OP2_SQL = r"""
