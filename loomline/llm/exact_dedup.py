@@ -1,7 +1,8 @@
 """Exact dedup: two passes around a Bloom filter; only rows whose hash may repeat are shuffled.
 
 Pass one reads the texts once and keeps a narrow table of digests, from which the filter of hashes that may occur twice is built. Pass two
-probes it: rows that cannot repeat pass straight through, the others are grouped by their whole SHA-256. A hot group is pre-aggregated before
+probes it: rows that cannot repeat pass straight through, the others are grouped by their whole SHA-256. A filter has a bounded size; where there
+are more rows than it can tell apart, hashes fall into ranges, each with a filter of its own that is broadcast in its turn. A hot group is pre-aggregated before
 the shuffle and its survivor is broadcast back (skew_join), so a text held by a third of all rows never meets in one task.
 
 Defined results: null text counts as empty, and all empty texts are equal; of rows equal in text, the largest id stays (null ids come last);
@@ -30,30 +31,47 @@ def head(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def _again(digests: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """digests (with h) that cannot repeat, and those that may."""
+    spark = digests.sparkSession
+    ranges = -(-count * bloom.BITS // bloom.MAX_BITS) or 1
+    parts = [digests]
+    if ranges > 1:
+        dealt = stored(digests.withColumn("range", F.pmod(F.shiftright("h", 7), F.lit(ranges)).cast("int")), "ranges", "range")
+        parts = [dealt.filter(F.col("range") == k).drop("range") for k in range(ranges)]
+    probed = []
+    for part in parts:
+        seen = bloom.build(part.select("h"), -(-count // ranges), repeated=True)
+        found = part.withColumn("again", bloom.may_have(spark, seen, F.col("h")))
+        probed.append(stored(found, "probed") if ranges > 1 else found)
+    both = probed[0]
+    for part in probed[1:]:
+        both = both.unionByName(part)
+    return both.filter(~F.col("again")).drop("again"), both.filter("again").drop("again")
+
+
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
     digests = stored(docs.select(F.col(id_col).alias("i"), text_digest(F.col(text_col)).alias("d")).withColumn("h", head(F.col("d"))).withColumn("r", F.monotonically_increasing_id()), "digests")
     count = digests.count()
-    seen = bloom.build(digests.select("h"), count, repeated=True)
-    probed = digests.withColumn("again", bloom.may_have(spark, seen, F.col("h")))
-    single = probed.filter(~F.col("again")).select(F.col("i").alias(id_col), F.col("i").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("d").alias("text_sha256"))
-    again = probed.filter("again").select("i", "d", "r")
+    once, again = _again(digests, count)
+    single = once.select(F.col("i").alias(id_col), F.col("i").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("d").alias("text_sha256"))
     groups = again.groupBy("d").agg(F.max(F.struct("i", "r")).alias("best"), F.count("*").alias("group_size"), F.count("*").alias("w"))
-    joined = skew_join(again, groups, "d", "w", count).select(
+    joined = skew_join(again.select("i", "d", "r"), groups, "d", "w", count).select(
         F.col("i").alias(id_col), F.col("best.i").alias("keep_id"), "group_size", (F.col("r") == F.col("best.r")).alias("kept"), F.col("d").alias("text_sha256")
     )
     return single.unionByName(joined)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Texts that cannot repeat are not shuffled."""
+    """The rows that stay, with all their columns. Of the texts only those are shuffled whose hash does repeat, or that its filter mistakes for such."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("__d", text_digest(F.col(text_col))).withColumn("__h", head(F.col("__d")))
-    narrow = stored(keyed.select(F.col(id_col).alias("i"), F.col("__d").alias("d"), F.col("__h").alias("h")), "digests")
-    count = narrow.count()
-    seen = bloom.build(narrow.select("h"), count, repeated=True)
-    probed = keyed.withColumn("__again", bloom.may_have(spark, seen, F.col("__h")))
-    best = narrow.filter(bloom.may_have(spark, seen, F.col("h"))).groupBy(F.col("d").alias("__best_d")).agg(F.max("i").alias("__best"))
-    stay = probed.filter("__again").join(best, (F.col("__d") == F.col("__best_d")) & F.col(id_col).eqNullSafe(F.col("__best")), "left_semi")
-    return probed.filter(~F.col("__again")).unionByName(stay.dropDuplicates(["__d"])).select(*docs.columns)
+    narrow = stored(docs.select(F.col(id_col).alias("i"), text_digest(F.col(text_col)).alias("d")).withColumn("h", head(F.col("d"))), "digests")
+    again = _again(narrow, narrow.count())[1]
+    best = stored(again.groupBy("d").agg(F.max("i").alias("best"), F.count("*").alias("rows"), F.first("h").alias("h")).filter("rows > 1"), "repeated")
+    repeats = bloom.may_have(spark, bloom.build(best.select("h"), best.count()), F.col("__h"))
+    probed = docs.withColumn("__d", text_digest(F.col(text_col))).withColumn("__h", head(F.col("__d"))).withColumn("__again", repeats)
+    met = probed.filter("__again").join(best.select(F.col("d").alias("__best_d"), "best").withColumnRenamed("best", "__best"), F.col("__d") == F.col("__best_d"), "left")
+    alone = met.filter(F.col("__best_d").isNull())
+    stay = met.filter(F.col("__best_d").isNotNull() & F.col(id_col).eqNullSafe(F.col("__best"))).dropDuplicates(["__d"])
+    return probed.filter(~F.col("__again")).select(*docs.columns).unionByName(alone.select(*docs.columns)).unionByName(stay.select(*docs.columns))
