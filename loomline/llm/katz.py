@@ -65,12 +65,12 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return c * np.where(c <= TOP, d[np.minimum(c, TOP)], 1.0)
 
 
-def _flushes(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+def _flushes(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
     """(columns of the rows, their word hashes, bounds) for runs of about FLUSH words."""
     have, n = [], 0
 
     def joined():
-        cols = [np.concatenate(x) for x in zip(*[c for c, _, _ in have])]
+        cols = [pa.concat_arrays(x) for x in zip(*[c for c, _, _ in have])]
         h = np.concatenate([x for _, x, _ in have])
         sizes = np.concatenate([np.diff(b) for _, _, b in have])
         return cols, h, np.r_[0, np.cumsum(sizes)]
@@ -78,7 +78,7 @@ def _flushes(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
     for batch in batches:
         for lo, hi, data, off in slices(batch["text"]):
             h, bounds = words(data, off, lower=True)
-            have.append(([batch[c].to_numpy(zero_copy_only=False)[lo:hi] for c in columns], h, bounds))
+            have.append(([batch[c].slice(lo, hi - lo) for c in columns], h, bounds))
             n += len(h) + hi - lo
             if n >= FLUSH:
                 yield joined()
@@ -254,6 +254,7 @@ def scored_pairs(keyed: DataFrame, pairs: DataFrame, vocab, contexts, buckets: i
     def local(batches):
         part, number = TaskContext.get().partitionId(), 0
         for (k,), h, bounds in _flushes(batches, ["k"]):
+            k = k.to_numpy()
             number += 1
             flush = part << 32 | number
             key, row = vocab.value.pairs(h, bounds)
@@ -332,9 +333,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             known = np.bincount(row[mine], minlength=len(k)) + (v.docs > 0)
             base = np.bincount(row[mine], v.base[ids[mine]], len(k)) + v.base[v.end]
             cuts = np.searchsorted(row[~mine], np.arange(len(k) + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(i, from_pandas=True).cast(pa.int64()), pa.array(out.astype(bool)), pa.array(np.diff(bounds) + 1), pa.array(known.astype(np.int64)), pa.array(base), binary(h[~mine], cuts)], ["k", "i", "held", "n", "known", "base", "rare"])
+            yield pa.RecordBatch.from_arrays([k, i, out, pa.array(np.diff(bounds) + 1), pa.array(known.astype(np.int64)), pa.array(base), binary(h[~mine], cuts)], ["k", "i", "held", "n", "known", "base", "rare"])
 
-    looked = stored(keyed.withColumn("i", F.col("i").cast("long")).mapInArrow(look, "k long, i long, held boolean, n long, known long, base double, rare binary"), "looked")
+    looked = stored(keyed.mapInArrow(look, f"k long, i {docs.schema[id_col].dataType.simpleString()}, held boolean, n long, known long, base double, rare binary"), "looked")
 
     def spread(batches):
         for batch in batches:
@@ -357,6 +358,6 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     )
     zero = F.lit(0.0)
     return looked.drop("rare").join(by_pairs, "k", "left").join(of_class, "k", "left").select(
-        F.col("i").cast(docs.schema[id_col].dataType).alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.col("i").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(vocab.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("pair_score") + F.coalesce("more_score", zero)).alias("score"),
     )

@@ -68,6 +68,13 @@ def test_katz_edges(docs, nulls, empty):
     assert katz.scored(docs.unionByName(docs)).count() == 2 * docs.count()
 
 
+def test_katz_keeps_ids_as_they_are(spark):
+    rows = [(2**53 + 1, "a b c"), (None, "a b"), (2**53 + 3, "c")]
+    assert {r["doc_id"] for r in katz.scored(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()} == {x[0] for x in rows}
+    names = spark.createDataFrame([("x-1", "a b"), (None, "c d"), ("7", None)], "doc_id string, text string")
+    assert sorted(str(r["doc_id"]) for r in katz.scored(names).collect()) == ["7", "None", "x-1"]
+
+
 def test_katz_beats_the_base_on_held_out_text(spark):
     got = katz.scored(spark.read.parquet(f"{SMALL}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
