@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm import bloom
-from loomline.llm.common import bounded_batches, row_key, settle, skew_join, stored
+from loomline.llm.common import bounded_batches, release, releasing, row_key, settle, skew_join, stored
 from loomline.llm.exchange import binary, bucket_of, buckets_for, by_bucket, unpack
 from loomline.llm.textkit import grams, mix, row_of, slices, words
 
@@ -97,7 +97,7 @@ def describe(keyed: DataFrame, size: int) -> DataFrame:
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays([part["k"], part["i"], pa.array(np.diff(bounds), pa.int64()), pa.array(classes_of(g, bounds), pa.int64())], ["k", "i", "n", "c"])
 
-    return keyed.mapInArrow(run, f"k long, i {keyed.schema['i'].dataType.simpleString()}, n long, c long")
+    return keyed.mapInArrow(releasing(run), f"k long, i {keyed.schema['i'].dataType.simpleString()}, n long, c long")
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -196,6 +196,7 @@ def shared(keyed: DataFrame, described: DataFrame, size: int, percent: int) -> D
             if b > a:
                 out.append((x["flush"], _pack((pairs[a:b] & 0xFFFF).astype(np.uint16)), _pack(times[a:b].astype(np.uint32)), None, None, None))
         kinds = [pa.int64(), *[pa.binary()] * 5]
+        release()
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, kinds)], ["flush", "rows", "times", "ks", "ns", "cs"])
 
     def gather(group: pa.Table) -> pa.Table:
@@ -209,7 +210,7 @@ def shared(keyed: DataFrame, described: DataFrame, size: int, percent: int) -> D
         ok = m >= at_least(n, percent)
         return pa.table({"k": k[ok], "c": c[ok], "n": n[ok]})
 
-    sent = keyed.select("k", "text").mapInArrow(deal, SENT)
+    sent = keyed.select("k", "text").mapInArrow(releasing(deal), SENT)
     counted = sent.groupBy("bucket").applyInArrow(count, "flush long, rows binary, times binary, ks binary, ns binary, cs binary")
     return counted.groupBy("flush").applyInArrow(gather, "k long, c long, n long")
 
@@ -224,7 +225,7 @@ def sets_of(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for batch, lo, hi, g, bounds in shingle_sets(some, size):
             yield pa.RecordBatch.from_arrays([batch["k"].slice(lo, hi - lo), pa.array(classes_of(g, bounds), pa.int64()), binary(g, bounds)], ["k", "c", "items"])
 
-    return keyed.select("k", "text").mapInArrow(sets, "k long, c long, items binary").join(wanted, ["k", "c"]).dropDuplicates(["c"]).select("c", "n", "items")
+    return keyed.select("k", "text").mapInArrow(releasing(sets), "k long, c long, items binary").join(wanted, ["k", "c"]).dropDuplicates(["c"]).select("c", "n", "items")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -250,6 +251,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             if b > a:
                 out.append((x["flush"], x["bucket"], _pack(np.diff(low[a:b], prepend=np.uint32(0))), _pack(row[a:b]), _pack(df[a:b]), None, None))
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+        release()
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 7, kinds)], ["flush", "bucket", "tokens", "rows", "dfs", "ns", "cs"])
 
     def gather(group: pa.Table) -> pa.Table:
@@ -270,7 +272,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         keep = np.arange(len(row)) - first[row] < left[row]
         return pa.table({"c": c, "n": n, "tokens": binary(token[keep], np.r_[0, np.cumsum(left)])})
 
-    sent = sets.select("c", "items").mapInArrow(deal, SENT)
+    sent = sets.select("c", "items").mapInArrow(releasing(deal), SENT)
     counted = sent.groupBy("bucket").applyInArrow(count, "flush long, bucket int, tokens binary, rows binary, dfs binary, ns binary, cs binary")
     return counted.groupBy("flush").applyInArrow(gather, "c long, n long, tokens binary").filter("octet_length(tokens) > 0")
 
@@ -335,7 +337,7 @@ def neighbours(ranked: DataFrame, percent: int) -> DataFrame:
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
         return pa.table({"a": a[first], "b": b[first], "lists": np.diff(np.r_[first, len(a)])})
 
-    rows = ranked.mapInArrow(deal, "bucket int, tokens binary, cs binary, ns binary, places binary")
+    rows = ranked.mapInArrow(releasing(deal), "bucket int, tokens binary, cs binary, ns binary, places binary")
     return rows.groupBy("bucket").applyInArrow(edges, "a long, b long, lists long").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
 
 
@@ -473,6 +475,7 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
                 for x, y in search(items[lo:hi], label[lo:hi], asks[lo:hi], held[lo:hi], percent):
                     a.append(c[lo + x])
                     b.append(c[lo + y])
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("g").applyInArrow(run, "a long, b long")

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bounded_batches
+from loomline.llm.common import bounded_batches, releasing
 from loomline.llm.textkit import HashIndex, mix
 
 SPACE = "▁"
 #: Chunks that a worker keeps; when there are more they become the older half, from which those met again return.
-KEPT = 400_000
+KEPT = 250_000
 #: Chunks of at most so many characters are merged many at once, those within the same step together.
 STEPS = (4, 7, 10, 13, 20)
 WIDE = STEPS[-1]
@@ -51,14 +51,13 @@ class Codec:
             raise ValueError("a piece holds a space after another character, or a line feed: texts do not fall into chunks")
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.newline = self.bytes[10]
-        self.met: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.old: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.met: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.char_id = np.full(0x110000, -1, np.int32)
         for piece, k in self.ids.items():
             if len(piece) == 1:
                 self.char_id[ord(piece)] = k
-        self.number = list(range(n))
-        self.text = list(map(str, self.number))
+        self.text = list(map(str, range(n)))
         two = [(self.ids[p[:k]], self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
         left, right, whole = (np.array(x, np.int64) for x in zip(*two))
         key = mix((left * (1 << 20) + right).astype(np.uint64))
@@ -169,18 +168,20 @@ class Codec:
         """Encode chunks not met before and check them against the library. The library puts a space in front of what it encodes, so
         chunks without one of their own are sent behind a line feed."""
         asked = self.library.encode(["\n" + c if c[0] != SPACE else c[1:] for c in new], num_threads=1)
-        text, number = self.text, self.number
-        for c, mine, theirs in zip(new, self.merge_many(new), asked):
+        ids = self.merge_many(new)
+        for c, mine, theirs in zip(new, ids, asked):
             if c[0] != SPACE:
                 theirs = theirs[theirs.index(self.newline) + 1 :]
             elif c == SPACE:
                 theirs = mine  # the library has no text for a lone space; the decoded text shows it
             if mine != theirs:
                 raise ValueError(f"agenda and library differ on {c!r}: {mine} and {theirs}")
-            self.met[c] = (",".join([text[k] for k in mine]), tuple([number[k] for k in mine]))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids))).tobytes()
+        cuts = np.r_[0, 4 * np.cumsum([len(x) for x in ids], dtype=np.int64)].tolist()
+        self.met.update(zip(new, (flat[a:b] for a, b in zip(cuts[:-1], cuts[1:]))))
 
-    def encode_batch(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...]]]]:
-        """For each text the entries of its chunks."""
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         split = [self.split(t) for t in texts]
         if len(self.met) > KEPT:
             self.met, self.old = {}, self.met
@@ -191,7 +192,7 @@ class Codec:
             if len(again) < len(need):
                 self.learn(sorted(need - again))
         get = self.met.__getitem__
-        return [list(map(get, s)) for s in split]
+        return [np.frombuffer(b"".join(map(get, s)), np.uint32) for s in split]
 
 
 _codecs: dict[str, Codec] = {}
@@ -230,16 +231,16 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             texts = batch["text"].to_pylist()
             n, ids, decoded = [], [], []
             for lo, hi in _together(texts):
-                for entries in c.encode_batch(texts[lo:hi]):
-                    numbers = list(chain.from_iterable(e[1] for e in entries))
+                for found in c.encode_batch(texts[lo:hi]):
+                    numbers = found.tolist()
                     n.append(len(numbers))
-                    ids.append(hashlib.sha256(",".join([e[0] for e in entries]).encode()).hexdigest())
+                    ids.append(hashlib.sha256(",".join([c.text[k] for k in numbers]).encode()).hexdigest())
                     decoded.append(hashlib.sha256(c.library.decode(numbers).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch["i"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(releasing(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -253,9 +254,9 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         texts = [t or "" for t in text.to_pylist()]
         out, bounds = [], [0]
         for lo, hi in _together(texts):
-            for entries in c.encode_batch(texts[lo:hi]):
-                out.append(np.fromiter(chain.from_iterable(e[1] for e in entries), np.int32))
-                bounds.append(bounds[-1] + len(out[-1]))
+            for found in c.encode_batch(texts[lo:hi]):
+                out.append(found.astype(np.int32))
+                bounds.append(bounds[-1] + len(found))
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
 
     return docs.withColumn("__ids", encode(F.col(text_col)))

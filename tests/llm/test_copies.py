@@ -36,6 +36,13 @@ def test_exact_dedup_of_a_hot_group(spark):
     assert got.filter("kept").count() == 2001 and got.filter("group_size = 1000 and keep_id = 2997").count() == 1000
 
 
+def test_exact_dedup_with_a_filter_a_range(docs, rows, monkeypatch):
+    monkeypatch.setattr(bloom, "MAX_BITS", 1 << 8)
+    want = brute.exact_copies([(i, t) for i, t, _ in rows])
+    assert {tuple(r) for r in exact_dedup.annotate(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()} == want
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(docs).collect()) == sorted(x[0] for x in want if x[3])
+
+
 def test_bloom_filter_misses_nothing(spark):
     keys = spark.range(0, 50_000, 1, 7).select(F.xxhash64("id").alias("h"))
     held = np.array([r["h"] for r in keys.collect()])
