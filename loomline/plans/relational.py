@@ -138,9 +138,9 @@ def _needs(t: Tables) -> DataFrame:
     return t.lineitem.filter("l_orderkey IS NOT NULL AND (l_linenumber > 3 OR l_quantity > 45)").join(own, "l_orderkey", "left_anti").select("l_orderkey").distinct()
 
 
-@query("f21_prefix_range", "SELECT p_partkey, p_name FROM part WHERE p_name >= 'part 1' AND p_name < 'part 2'")
+@query("f21_prefix_range", "SELECT p_partkey, p_name FROM part WHERE p_name >= 'blue g' AND p_name < 'blue h'")
 def _prefix(t: Tables) -> DataFrame:
-    return t.part.filter((F.col("p_name") >= "part 1") & (F.col("p_name") < "part 2")).select("p_partkey", "p_name")
+    return t.part.filter((F.col("p_name") >= "blue g") & (F.col("p_name") < "blue h")).select("p_partkey", "p_name")
 
 
 @query("f22_neighbours", "SELECT l_orderkey, l_linenumber, max(q) OVER (PARTITION BY l_orderkey ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_, min(q) OVER (PARTITION BY l_orderkey ORDER BY q RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_ FROM (SELECT *, epoch(l_shipdate)::BIGINT AS q FROM lineitem)")
@@ -179,10 +179,10 @@ def _not_exists(t: Tables) -> DataFrame:
     return t.orders.join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
 
 
-@query("j8_only_by_comments", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_partkey IS NOT NULL)")
+@query("j8_only_by_comments", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey IS NOT NULL)")
 def _only(t: Tables) -> DataFrame:
-    li = t.lineitem.filter("l_partkey IS NOT NULL")
-    return li.filter("l_returnflag = 'R'").select("l_partkey").distinct().join(li.filter("l_returnflag = 'A'").select("l_partkey"), "l_partkey", "left_anti")
+    li = t.lineitem.filter("l_orderkey IS NOT NULL")
+    return li.filter("l_returnflag = 'R'").select("l_orderkey").distinct().join(li.filter("l_returnflag = 'A'").select("l_orderkey"), "l_orderkey", "left_anti")
 
 
 @query("j9_orphans", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48 UNION SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)")

@@ -52,7 +52,17 @@ def _guard(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.md5(text.guard_norm(F.col("text"))).alias("h"))
 
 
-@query("t17_spelling_pairs")
+_WORDS = r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS x FROM"
+
+
+@query("t17_spelling_pairs", f"""WITH a AS ({_WORDS} benchmark), b AS ({_WORDS} documents),
+ a1 AS (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM a), b1 AS (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM b),
+ p AS (SELECT a.x AS word, b1.x AS term FROM a JOIN b1 ON a.x = left(b1.x, i - 1) || substr(b1.x, i + 1)
+   UNION SELECT a1.x, b.x FROM a1 JOIN b ON b.x = left(a1.x, i - 1) || substr(a1.x, i + 1)
+   UNION SELECT a1.x, b1.x FROM a1 JOIN b1 ON a1.i = b1.i AND left(a1.x, a1.i - 1) || '*' || substr(a1.x, a1.i + 1) = left(b1.x, b1.i - 1) || '*' || substr(b1.x, b1.i + 1)
+   UNION SELECT a1.x, b.x FROM a1 JOIN b ON b.x = left(a1.x, i - 1) || substr(a1.x, i + 1, 1) || substr(a1.x, i, 1) || substr(a1.x, i + 2)),
+ g AS (SELECT word, term, [substr(word, k, 3) FOR k IN range(1, len(word) - 1)] AS wg, [substr(term, k, 3) FOR k IN range(1, len(term) - 1)] AS tg FROM p WHERE word <> term)
+ SELECT word, term, 1 AS distance FROM g WHERE list_has_any(wg, tg)""")
 def _pairs(t: Tables) -> DataFrame:
     """Words of the benchmark with vocabulary terms within distance 1 that share a trigram."""
     words = t.benchmark.select(F.explode(text.token_array(F.col("text"))).alias("word")).distinct()

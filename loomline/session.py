@@ -25,11 +25,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Where intermediate tables and checkpoints go: spark.checkpoint.dir, or a local folder where none is set (tests)."""
+    """Where intermediate tables and checkpoints go: spark.checkpoint.dir. Where none is set: a local folder, if the master is local."""
     import os
     import tempfile
 
-    found = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loomline-checkpoints")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = os.path.join(tempfile.gettempdir(), "loomline-checkpoints")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
