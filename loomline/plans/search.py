@@ -11,16 +11,19 @@ from loomline.session import shared_dir
 from loomline.sources import sinks
 
 
+def root(t: Tables) -> str:
+    """Where the index of the documents is published; another place when their files change."""
+    return f"{shared_dir(t.spark)}/search/{sinks.versions_of(t.spark, t.documents.inputFiles())}"
+
+
 def index(t: Tables) -> S.Index:
-    """The published index of the documents, built the first time it is asked for and again when their files change."""
-    files = sinks.versions_of(t.spark, t.documents.inputFiles())
-    root = f"{shared_dir(t.spark)}/search/{files}"
-    return S.opened(t.spark, root) or build(t, root)
+    """The published index of the documents, built the first time it is asked for."""
+    return S.opened(t.spark, root(t)) or build(t)
 
 
-def build(t: Tables, root: str) -> S.Index:
+def build(t: Tables) -> S.Index:
     kind = F.when(F.col("source") == "src0", "p").when(F.col("source") == "src1", "c").otherwise("o")
-    return S.write(t.documents.select("doc_id", kind.alias("kind"), F.col("doc_id").alias("date"), F.lit("").alias("title"), F.col("text").alias("body")), root)
+    return S.write(t.documents.select("doc_id", kind.alias("kind"), F.col("doc_id").alias("date"), F.lit("").alias("title"), F.col("text").alias("body")), root(t))
 
 
 # BM25 spelt out: words of Latin letters have one stem each, so a document is twice its tokens long. Prefixes and phrases need no stems.
@@ -34,10 +37,7 @@ _SCORE = """n AS (SELECT p, count(*) AS n FROM h GROUP BY 1),
 @query("ft1_postings", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) SELECT term, count(*) AS places, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1""")
 def _postings(t: Tables) -> DataFrame:
     """Builds and publishes the index anew; what its postings of the raw body hold."""
-    from uuid import uuid4
-
-    made = build(t, f"{shared_dir(t.spark)}/search/{uuid4().hex}")
-    return made.postings.filter("field = 'body'").groupBy("term").agg(F.count("*").alias("places"), F.count_distinct("doc_id").alias("docs"))
+    return build(t).postings.filter("field = 'body'").groupBy("term").agg(F.count("*").alias("places"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query("ft4_prefix_and_phrase", _BASE + r""" h AS (SELECT 0 AS p, doc_id, 3.0 * count(*) AS f FROM t WHERE starts_with(term, 'inth') GROUP BY doc_id

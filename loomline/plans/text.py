@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import calendar, text
 from loomline.operators import setlike
 from loomline.plans.registry import Tables, query
+from loomline.session import spread
 
 
 @query("t2_tokens", r"SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM benchmark")
@@ -38,7 +39,7 @@ def _filter(t: Tables) -> DataFrame:
 @query("t8_stemmed_words")
 def _stems(t: Tables) -> DataFrame:
     """Each distinct word is stemmed once; documents get their stems by a join."""
-    words = t.documents.select(F.explode(text.token_array(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    words = spread(t.documents).select(F.explode(text.token_array(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     return words.select("term", "n", text.stems_of("term").alias("stems"))
 
 
@@ -66,7 +67,7 @@ _WORDS = r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+
 def _pairs(t: Tables) -> DataFrame:
     """Words of the benchmark with vocabulary terms within distance 1 that share a trigram."""
     words = t.benchmark.select(F.explode(text.token_array(F.col("text"))).alias("word")).distinct()
-    terms = t.documents.select(F.explode(text.token_array(F.col("text"))).alias("term")).distinct()
+    terms = spread(t.documents).select(F.explode(text.token_array(F.col("text"))).alias("term")).distinct()
     shared = F.size(F.array_intersect(setlike.trigrams(F.col("word")), setlike.trigrams(F.col("term"))))
     close = setlike.one_edit_neighbours(words, terms).filter((F.col("word") != F.col("term")) & (shared > 0))
     return close.withColumn("distance", text.osa("word", "term", F.lit(1))).filter("distance <= 1").select("word", "term", "distance")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Calendar days and months are those of a fixed offset, never of a zone with summer time.
 OFFSET = "+03:00"
@@ -24,6 +24,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer partitions than there are cores, such as one small file, are dealt to all cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Where intermediate tables and checkpoints go: spark.checkpoint.dir. Where none is set: a local folder, if the master is local."""
     import os
