@@ -8,16 +8,18 @@ d(r) is Katz's discount up to TOP occurrences, 1 above; where counts of counts g
 discounts leave, divided by the probability of the words not seen after h. A context whose counts leave nothing gets one more count in its
 denominator, and one after which every word was seen is not discounted, so every distribution sums to 1.
 
-Counts are kept for all words. Contexts and pairs are over the VOCABULARY most frequent words (those of at least a count that keeps them within
-the bound, so the tables below may be broadcast: at most 2**20 lines); other words form one class there, and within the class have their own
-probability, p(w) / p(class), from the whole table of word counts by a join. So every word of every document counts, at any size.
+Every word of every document has its own counts, at any size. How pairs travel depends on their words alone, never what they count: pairs of two
+frequent words (a vocabulary of at most VOCABULARY words, a broadcast of at most 2**20 lines) have keys of 42 bits and go packed; pairs that hold
+another word are rows keyed by the words' 64-bit hashes, counted, given the probability of their word and the weight of their context by joins.
+The scores are the same for any vocabulary_size.
 
-Tables: word counts and pair counts, both partitioned by bucket. Pairs are dealt by the hash of context and word together, so a frequent
-context is spread over all tasks, and a pair is sent once for each flush of a task. Scoring sends pairs to the bucket that holds their count.
+Tables: word counts and pair counts, partitioned by bucket, pair counts that hold a rarer word, and the contexts that are rarer words. Pairs are
+dealt by the hash of context and word together, so a frequent context is spread over all tasks, and a packed pair is sent once for each flush of a
+task. Scoring sends pairs to the bucket that holds their count.
 
 Defined results: null or empty text is one token, the end; a null id counts as the empty text in the split (held out); rows equal in id and
-text are scored alike; without training rows N is 0, no word is known, the base is log10(1) a token and the model gives all mass to the one
-class; an empty table gives an empty result. Other columns are not read.
+text are scored alike; words not seen in training share what is left as one class; without training rows N is 0, no word is known, and base and score are
+log10(1) a token; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ TOP = 5
 FLUSH = 1 << 19
 #: A pair's key is context << SHIFT | word.
 SHIFT = np.uint64(21)
+#: In place of a word's hash: the end, and the context before the first word.
+END, START = np.uint64(2**64 - 1), np.uint64(2**64 - 2)
+#: Counts from here on are one line in the table of counts of counts.
+MANY = 100_000
 
 
 def _zip(raw: bytes) -> bytes:
@@ -108,22 +114,43 @@ def word_counts(train: DataFrame, buckets: int) -> DataFrame:
     return train.select("text").mapInArrow(local, "bucket int, ws binary, cs binary").groupBy("bucket").applyInArrow(merge, "w long, c long, bucket int")
 
 
+def chained(tokens: np.ndarray, bounds: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, token, row) of all pairs of the rows; a row of n words has n + 1."""
+    n = np.diff(bounds)
+    row = np.repeat(np.arange(len(n)), n + 1)
+    last = np.cumsum(n + 1) - 1
+    token = np.full(len(row), end, np.uint64)
+    inner = np.ones(len(row), bool)
+    inner[last] = False
+    token[inner] = tokens
+    before = np.empty(len(row), np.uint64)
+    before[1:] = token[:-1]
+    before[last - n] = start
+    return before, token, row
+
+
 class Vocabulary:
-    """Words by id in order of their hash; then the end, the class of all others, and the start (a context only)."""
+    """Frequent words by id in order of their hash; then the end, all other words, and the start (a context only). tally has the number of words
+    and of tokens for each count (MANY: that or more), the end aside."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, least: int, n_of: dict[int, int], docs: int, tokens: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, least: int, tally: dict[int, tuple[int, int]], docs: int):
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.least = hashes[order], counts[order], least
-        self.docs, self.n, self.v = docs, tokens, sum(n_of.values())
+        self.hashes, self.counts, self.least, self.docs = hashes[order], counts[order], least, docs
         self.end, self.other, self.start = len(hashes), len(hashes) + 1, len(hashes) + 2
-        d = discounts(n_of)
-        mass = sum(k * float(discounted(np.array([c]), d)[0]) for c, k in n_of.items())
-        self.d, self.total = d, float(tokens) if mass < tokens - 1e-9 else tokens + 1.0
-        p = discounted(np.r_[self.counts, docs], d) / self.total
-        self.p = np.r_[p, max(1.0 - p.sum(), 0.0), 0.0]  # the class has what is left: rare words and unseen ones
+        n_of = {c: n for c, (n, _) in tally.items()}
+        if docs:
+            n_of[min(docs, MANY)] = n_of.get(min(docs, MANY), 0) + 1
+        self.n, self.v = docs + sum(t for _, t in tally.values()), sum(n_of.values())
+        self.d = d = discounts(n_of)
+        mass = sum(t if c > TOP else c * n * d[c] for c, (n, t) in tally.items()) + float(discounted(np.array([docs]), d)[0])
+        self.total = float(self.n) if mass < self.n - 1e-9 else self.n + 1.0
         self.unseen = max(1.0 - mass / self.total, 0.0)
-        with np.errstate(divide="ignore"):
-            self.base = np.log10((np.r_[self.counts, docs] + 0.1) / (tokens + 0.1 * (self.v + 1)))
+        end = discounted(np.array([docs]), d) / self.total if docs else self.unseen
+        self.p = np.r_[discounted(self.counts, d) / self.total, end, 0.0, 0.0]
+        self.base = self.base_of(np.r_[self.counts, docs])
+
+    def base_of(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
     def index(self) -> HashIndex:
         if not hasattr(self, "_index"):
@@ -137,40 +164,36 @@ class Vocabulary:
         found = self.index().find(h)
         return np.where(found < 0, self.other, found)
 
+    def of_hashes(self, h: np.ndarray) -> np.ndarray:
+        """Ids where END and START may stand among the hashes."""
+        return np.where(h == END, self.end, np.where(h == START, self.start, self.ids(h)))
+
+    def probability(self, ids: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """p(w); c is the count of words outside the vocabulary, 0 if they were not seen."""
+        rare = np.where(c > 0, discounted(c, self.d) / self.total, self.unseen)
+        return np.where(ids == self.other, rare, self.p[ids])
+
     def pairs(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of all (context, token) pairs of the rows, and the row of each; a row of n words has n + 1."""
-        n = np.diff(bounds)
-        row = np.repeat(np.arange(len(n)), n + 1)
-        last = np.cumsum(n + 1) - 1
-        token = np.empty(len(row), np.uint64)
-        inner = np.ones(len(row), bool)
-        inner[last] = False
-        token[inner] = self.ids(h)
-        token[last] = self.end
-        before = np.empty(len(row), np.uint64)
-        before[1:] = token[:-1]
-        before[last - n] = self.start
-        return before << SHIFT | token, row
+        """The keys of all pairs within the vocabulary, and the row of each."""
+        before, token, row = chained(self.ids(h), bounds, self.start, self.end)
+        ok = (before != self.other) & (token != self.other)
+        return before[ok] << SHIFT | token[ok], row[ok]
 
 
 def vocabulary(counts: DataFrame, docs: int, most: int) -> Vocabulary:
     """From the table of word counts; at most so many words, those of the highest counts."""
-    grouped = counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("n"), F.sum("c").alias("t")).orderBy(F.desc("c")).collect()  # 100,000 lines at most
-    n_of = {int(r["c"]): int(r["n"]) for r in grouped}
-    tokens = sum(int(r["t"]) for r in grouped) + docs
-    if grouped and grouped[0]["c"] == 100_000:  # counts above TOP matter by their sum alone
-        n_of[100_000] = 0
-        n_of |= {int(r["c"]): int(r["n"]) for r in counts.filter("c >= 100000").groupBy("c").agg(F.count("*").alias("n")).collect()}
+    grouped = counts.groupBy(F.least("c", F.lit(MANY)).alias("c")).agg(F.count("*").alias("n"), F.sum("c").alias("t")).orderBy(F.desc("c")).collect()  # MANY lines at most
     total, least = 0, 1
     for r in grouped:
         total += int(r["n"])
         if total > most:
             least = int(r["c"]) + 1
             break
-    if docs:
-        n_of[docs] = n_of.get(docs, 0) + 1
+    if least > MANY:  # so many words occur MANY times that they are told apart by their exact counts
+        top = [int(r["c"]) for r in counts.filter(F.col("c") >= MANY).orderBy(F.desc("c")).select("c").limit(most + 1).collect()]
+        least = top[-1] + 1
     kept = counts.filter(F.col("c") >= least).select("w", "c").toArrow()
-    return Vocabulary(kept["w"].to_numpy().view(np.uint64), kept["c"].to_numpy(), least, {c: n for c, n in n_of.items() if n}, docs, tokens)
+    return Vocabulary(kept["w"].to_numpy().view(np.uint64), kept["c"].to_numpy(), least, {int(r["c"]): (int(r["n"]), int(r["t"])) for r in grouped}, docs)
 
 
 def _deltas(keys: np.ndarray) -> bytes:
@@ -202,10 +225,68 @@ def pair_counts(train: DataFrame, vocab, buckets: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(merge, "bucket int, keys binary, counts binary")
 
 
+def rare_pairs(looked: DataFrame, sent) -> DataFrame:
+    """(j, h, w, times, rare_h, rare_w) of the pairs that hold a word outside the vocabulary, one row for each document and pair."""
+
+    def spread(batches):
+        v = sent.value
+        for batch in batches:
+            each = [np.frombuffer(x, np.uint64) for x in batch["rare"].to_pylist()]
+            if not each:
+                continue
+            pairs = np.concatenate(each).reshape(-1, 2)
+            row = np.repeat(np.arange(len(each)), [len(x) // 2 for x in each])
+            order = np.lexsort((pairs[:, 1], pairs[:, 0], row))
+            h, w, row = pairs[order, 0], pairs[order, 1], row[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (row[1:] != row[:-1])])
+            times = np.diff(np.r_[first, len(h)])
+            h, w, j = h[first], w[first], batch["j"].to_numpy()[row[first]]
+            rare_h, rare_w = v.of_hashes(h) == v.other, v.of_hashes(w) == v.other
+            for lo in range(0, len(h), 1 << 16):
+                at = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (j, h.view(np.int64), w.view(np.int64), times, rare_h, rare_w)], ["j", "h", "w", "times", "rare_h", "rare_w"])
+
+    return looked.filter("octet_length(rare) > 0").select("j", "rare").mapInArrow(spread, "j long, h long, w long, times long, rare_h boolean, rare_w boolean")
+
+
+def counted_words(rows: DataFrame, rarer: DataFrame) -> DataFrame:
+    """rows with cw, the count of w where w is outside the vocabulary (null: not seen). Only rows of such words are joined."""
+    return rows.filter("rare_w").join(rarer, "w", "left").unionByName(rows.filter("not rare_w").withColumn("cw", F.lit(None).cast("long")))
+
+
+def rare_pair_counts(rows: DataFrame, rarer: DataFrame, sent) -> DataFrame:
+    """(h, w, rare_h, c, p, hid) of the training rows' pairs: how often they occur, p(w), and the context's id (the class: outside)."""
+    summed = rows.groupBy("h", "w", "rare_h", "rare_w").agg(F.sum("times").alias("c"))
+
+    def known(batches):
+        v = sent.value
+        for b in batches:
+            p = v.probability(v.of_hashes(b["w"].to_numpy().view(np.uint64)), b["cw"].fill_null(0).to_numpy())
+            hid = v.of_hashes(b["h"].to_numpy().view(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b["h"], b["w"], b["rare_h"], b["c"], pa.array(p), pa.array(hid)], ["h", "w", "rare_h", "c", "p", "hid"])
+
+    return counted_words(summed, rarer).mapInArrow(known, "h long, w long, rare_h boolean, c long, p double, hid long")
+
+
+def _discounted(c, d: np.ndarray):
+    """discounted() for a column."""
+    return c * F.when(c <= TOP, F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least(c, F.lit(TOP)).cast("int") + 1)).otherwise(1.0)
+
+
+def rare_contexts(rare: DataFrame, d: np.ndarray) -> DataFrame:
+    """(h, over, plain, weight) of the contexts outside the vocabulary."""
+    sums = rare.filter("rare_h").groupBy("h").agg(F.sum("c").alias("c"), F.sum(_discounted(F.col("c"), d)).alias("m"), F.sum("p").alias("s"))
+    full = 1 - F.col("s") < 1e-12
+    over = F.when((F.col("c") - F.col("m") < 1e-9) & ~full, F.col("c") + 1).otherwise(F.col("c")).cast("double")
+    return sums.select("h", "m", "s", full.alias("plain"), over.alias("over")).select(
+        "h", "over", "plain", F.when(F.col("plain"), 0.0).otherwise((1 - F.col("m") / F.col("over")) / F.when(F.col("plain"), 1.0).otherwise(1 - F.col("s"))).alias("weight")
+    )
+
+
 class Contexts:
-    """For each context: the denominator, whether its counts are discounted, and the back-off weight."""
+    """For each context of the vocabulary: the denominator, whether its counts are discounted, and the back-off weight."""
 
-    def __init__(self, vocab: Vocabulary, pairs: DataFrame, sent):
+    def __init__(self, vocab: Vocabulary, pairs: DataFrame, rare: DataFrame, sent):
         size = vocab.start + 1
 
         def tallied(batches):
@@ -217,7 +298,11 @@ class Contexts:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["r", "n"])
 
         few = pairs.select("counts").mapInArrow(tallied, "r long, n long").filter(F.col("r") <= TOP + 1).groupBy("r").agg(F.sum("n").alias("n")).collect()  # TOP + 1 lines at most
-        self.d = d = discounts({int(r["r"]): int(r["n"]) for r in few})
+        of_rare = rare.filter(F.col("c") <= TOP + 1).groupBy(F.col("c").alias("r")).agg(F.count("*").alias("n")).collect()  # TOP + 1 lines at most
+        n_of: dict[int, int] = {}
+        for r in [*few, *of_rare]:
+            n_of[int(r["r"])] = n_of.get(int(r["r"]), 0) + int(r["n"])
+        self.d = d = discounts(n_of)
 
         def sums(batches):
             out = np.zeros((3, size))
@@ -232,7 +317,9 @@ class Contexts:
                 some = at[lo : lo + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(row[some]) for row in out)], ["h", "c", "m", "s"])
 
-        by_context = pairs.coalesce(pairs.sparkSession.sparkContext.defaultParallelism).mapInArrow(sums, "h long, c double, m double, s double").groupBy("h").agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.sum("s").alias("s")).toArrow()  # a line for each word of the vocabulary at most
+        packed = pairs.coalesce(pairs.sparkSession.sparkContext.defaultParallelism).mapInArrow(sums, "h long, c double, m double, s double")
+        others = rare.filter("not rare_h").select(F.col("hid").alias("h"), F.col("c").cast("double"), _discounted(F.col("c"), d).alias("m"), F.col("p").alias("s"))
+        by_context = packed.unionByName(others).groupBy("h").agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.sum("s").alias("s")).toArrow()  # a line for each word of the vocabulary at most
         h, c, m, s = (by_context[x].to_numpy() for x in ("h", "c", "m", "s"))
         full = 1 - s < 1e-12
         over = np.where((c - m < 1e-9) & ~full, c + 1, c)
@@ -243,9 +330,12 @@ class Contexts:
     def score(self, vocab: Vocabulary, key: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 p(w | h) of pairs with their counts (0: unseen)."""
         h, w = (key >> SHIFT).astype(np.int64), (key & np.uint64((1 << 21) - 1)).astype(np.int64)
-        seen = np.where(self.plain[h], c, discounted(c, self.d)) / self.over[h]
+        return self.log(self.over[h], self.plain[h], self.weight[h], vocab.p[w], c)
+
+    def log(self, over: np.ndarray, plain: np.ndarray, weight: np.ndarray, p: np.ndarray, c: np.ndarray) -> np.ndarray:
+        seen = np.where(plain, c, discounted(c, self.d)) / over
         with np.errstate(divide="ignore"):
-            return np.log10(np.where(c > 0, seen, self.weight[h] * vocab.p[w]))
+            return np.log10(np.where(c > 0, seen, weight * p))
 
 
 def scored_pairs(keyed: DataFrame, pairs: DataFrame, vocab, contexts, buckets: int) -> DataFrame:
@@ -262,7 +352,7 @@ def scored_pairs(keyed: DataFrame, pairs: DataFrame, vocab, contexts, buckets: i
             key, row = key[order], row[order].astype(np.uint32)
             order = np.argsort(b := bucket_of(mix(key), buckets), kind="stable")
             b, key, row = b[order], key[order], row[order]
-            cuts = np.r_[np.flatnonzero(np.r_[True, b[1:] != b[:-1]]), len(b)]
+            cuts = np.r_[np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64), len(b)].astype(np.int64)
             packed, times, rows = [], [], []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 u = np.flatnonzero(np.r_[True, key[lo + 1 : hi] != key[lo : hi - 1]])
@@ -320,44 +410,56 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     vocab = vocabulary(counts, train.count(), vocabulary_size)
     sent = spark.sparkContext.broadcast(vocab)
     buckets = buckets_for(volume)
-    pairs = stored(pair_counts(train, sent, buckets), "pairs", "bucket")
-    contexts = spark.sparkContext.broadcast(Contexts(vocab, pairs, sent))
-    by_pairs = scored_pairs(keyed, pairs, sent, contexts, buckets).groupBy("k").agg(F.max("pair_score").alias("pair_score"))
 
     def look(batches):
-        v = sent.value
+        v, j = sent.value, TaskContext.get().partitionId() << 40
         for (k, i, out), h, bounds in _flushes(batches, ["k", "i", "held"]):
             row = np.repeat(np.arange(len(k)), np.diff(bounds))
             ids = v.ids(h)
             mine = ids != v.other
             known = np.bincount(row[mine], minlength=len(k)) + (v.docs > 0)
             base = np.bincount(row[mine], v.base[ids[mine]], len(k)) + v.base[v.end]
-            cuts = np.searchsorted(row[~mine], np.arange(len(k) + 1))
-            yield pa.RecordBatch.from_arrays([k, i, out, pa.array(np.diff(bounds) + 1), pa.array(known.astype(np.int64)), pa.array(base), binary(h[~mine], cuts)], ["k", "i", "held", "n", "known", "base", "rare"])
+            before, token, row = chained(ids, bounds, v.start, v.end)
+            rare = (before == v.other) | (token == v.other)
+            before, token, _ = chained(h, bounds, START, END)
+            cuts = np.searchsorted(row[rare], np.arange(len(k) + 1)) * 2
+            both = np.stack([before[rare], token[rare]], axis=1).ravel()
+            number = j + np.arange(len(k))
+            j += len(k)
+            yield pa.RecordBatch.from_arrays([pa.array(number), k, i, out, pa.array(np.diff(bounds) + 1), pa.array(known.astype(np.int64)), pa.array(base), binary(both, cuts)], ["j", "k", "i", "held", "n", "known", "base", "rare"])
+
+    # a row's number j is fixed by writing it
+    looked = stored(keyed.mapInArrow(look, f"j long, k long, i {docs.schema[id_col].dataType.simpleString()}, held boolean, n long, known long, base double, rare binary"), "looked")
+    rarer = counts.filter(F.col("c") < vocab.least).select("w", F.col("c").alias("cw"))
+    rare = stored(rare_pair_counts(rare_pairs(looked.filter("not held"), sent), rarer, sent), "rare_pairs")
+    pairs = stored(pair_counts(train, sent, buckets), "pairs", "bucket")
+    levels = Contexts(vocab, pairs, rare, sent)
+    contexts = spark.sparkContext.broadcast(levels)
+    by_pairs = scored_pairs(keyed, pairs, sent, contexts, buckets).groupBy("k").agg(F.max("pair_score").alias("pair_score"))
 
-    looked = stored(keyed.mapInArrow(look, f"k long, i {docs.schema[id_col].dataType.simpleString()}, held boolean, n long, known long, base double, rare binary"), "looked")
+    rows = counted_words(rare_pairs(looked, sent), rarer)
+    inside = rows.filter("not rare_h").join(rare.filter("not rare_h").select("h", "w", "c"), ["h", "w"], "left")
+    outside = rows.filter("rare_h").join(rare.filter("rare_h").select("h", "w", "c"), ["h", "w"], "left").join(rare_contexts(rare, levels.d), "h", "left")
+    columns = ["j", "h", "w", "times", "cw", "c"]
+
+    def finish(batches):
+        v, x = sent.value, contexts.value
+        for b in batches:
+            hid, wid = (v.of_hashes(b[name].to_numpy().view(np.uint64)) for name in ("h", "w"))
+            times, cw, c = (b[name].fill_null(0).to_numpy() for name in ("times", "cw", "c"))
+            mine, rare_w = hid != v.other, wid == v.other
+            over, weight = (b[name].fill_null(1.0).to_numpy() for name in ("over", "weight"))
+            plain = b["plain"].fill_null(False).to_numpy(zero_copy_only=False)
+            over, plain, weight = (np.where(mine, own[hid], other) for own, other in ((x.over, over), (x.plain, plain), (x.weight, weight)))
+            score = times * x.log(over, plain, weight, v.probability(wid, cw), c)
+            yield pa.RecordBatch.from_arrays(
+                [b["j"], pa.array(np.where(rare_w & (cw > 0), times, 0)), pa.array(np.where(rare_w, times * v.base_of(cw), 0.0)), pa.array(score)], ["j", "more_known", "more_base", "more_score"]
+            )
 
-    def spread(batches):
-        for batch in batches:
-            k, w, n = [], [], []
-            for key, rare in zip(batch["k"].to_pylist(), batch["rare"].to_pylist()):
-                u, c = np.unique(np.frombuffer(rare, np.int64), return_counts=True)
-                k.append(np.full(len(u), key, np.int64))
-                w.append(u)
-                n.append(c)
-            if k:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (k, w, n)], ["k", "w", "times"])
-
-    rare = looked.select("k", "rare").filter("octet_length(rare) > 0").mapInArrow(spread, "k long, w long, times long").groupBy("k", "w").agg(F.max("times").alias("times"))
-    d = F.element_at(F.array(*[F.lit(float(x)) for x in vocab.d]), F.least("c", F.lit(TOP)).cast("int") + 1)
-    p = F.when(F.col("c").isNull(), F.lit(vocab.unseen)).otherwise(F.col("c") * F.when(F.col("c") <= TOP, d).otherwise(1.0) / F.lit(vocab.total))
-    of_class = rare.join(counts.filter(F.col("c") < vocab.least).select("w", "c"), "w", "left").groupBy("k").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(vocab.n + 0.1 * (vocab.v + 1)))).alias("more_base"),
-        F.sum(F.col("times") * F.log10(p / F.lit(float(vocab.p[vocab.other]) or 1.0))).alias("more_score"),
-    )
+    with_rare = outside.select(*columns, "over", "plain", "weight").unionByName(inside.select(*columns), allowMissingColumns=True)
+    of_rare = with_rare.mapInArrow(finish, "j long, more_known long, more_base double, more_score double").groupBy("j").agg(*[F.sum(x).alias(x) for x in ("more_known", "more_base", "more_score")])
     zero = F.lit(0.0)
-    return looked.drop("rare").join(by_pairs, "k", "left").join(of_class, "k", "left").select(
+    return looked.drop("rare").join(by_pairs, "k", "left").join(of_rare, "j", "left").select(
         F.col("i").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(vocab.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("pair_score") + F.coalesce("more_score", zero)).alias("score"),
     )

@@ -36,29 +36,33 @@ def test_brute_katz_is_normalised(rows):
         assert math.isclose(sum(model.prob(h, w) for w in [*model.uni, None]), 1, rel_tol=1e-9)
 
 
-def test_katz_with_a_bounded_vocabulary(spark, docs, rows):
-    """Words beyond the bound form a class: counts and base stay exact, and what may follow a context still sums to 1."""
-    train = [t for i, t, _ in rows if brute.part(i, 10)]
-    model = brute.Katz(train)
-    small = {r["doc_id"]: r for r in katz.scored(docs, vocabulary_size=20).collect()}
+@pytest.mark.parametrize("size", [0, 1, 20])
+def test_katz_does_not_depend_on_the_vocabulary(docs, rows, size):
+    """However few words are broadcast, every word keeps its own counts and pairs."""
+    model = brute.Katz([t for i, t, _ in rows if brute.part(i, 10)])
+    assert model.v > 20
+    got = {r["doc_id"]: r for r in katz.scored(docs, vocabulary_size=size).collect()}
+    assert len(got) == len(rows)
     for i, t, _ in rows:
-        n, known, base, _ = model.score(t)
-        assert (small[i]["n_tokens"], small[i]["n_known"]) == (n, known) and math.isclose(small[i]["base_score"], base, rel_tol=1e-9)
-        assert small[i]["score"] < 0 and math.isfinite(small[i]["score"])
-    texts = spark.createDataFrame([(t or "",) for t in train], "text string")
-    counts = katz.word_counts(texts, 4).cache()
-    vocab = katz.vocabulary(counts, len(train), 20)
-    sent = spark.sparkContext.broadcast(vocab)
-    pairs = katz.pair_counts(texts, sent, 4).cache()
-    contexts = katz.Contexts(vocab, pairs, sent)
-    assert len(vocab.hashes) <= 20 and vocab.n == model.n and vocab.v == model.v
-    seen = {}
-    for r in pairs.collect():
-        seen |= dict(zip(katz._keys(r["keys"]).tolist(), np.frombuffer(katz._unzip(r["counts"]), np.int64).tolist()))
-    for h in [*range(vocab.start + 1)]:
-        key = (np.full(vocab.other + 1, h, np.uint64) << katz.SHIFT) | np.arange(vocab.other + 1, dtype=np.uint64)
-        p = 10 ** contexts.score(vocab, key, np.array([seen.get(int(k), 0) for k in key]))
-        assert math.isclose(p.sum(), 1, rel_tol=1e-9), h
+        n, known, base, score = model.score(t)
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (n, known, model.n)
+        assert math.isclose(got[i]["base_score"], base, rel_tol=1e-9) and math.isclose(got[i]["score"], score, rel_tol=1e-9), (i, got[i]["score"], score)
+
+
+def test_katz_of_real_texts_does_not_depend_on_the_vocabulary(spark):
+    """Rows that repeat, texts with unknown words and contexts, against brute force."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.filter("doc_id % 5 = 0"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    model = brute.Katz([t for i, t in rows if brute.part(i, 10)])
+    want = {i: model.score(t) for i, t in rows}
+    for size in (katz.VOCABULARY, 500):
+        got = katz.scored(docs, vocabulary_size=size).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            n, known, base, score = want[r["doc_id"]]
+            assert (r["n_tokens"], r["n_known"]) == (n, known)
+            assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
 
 
 def test_katz_edges(docs, nulls, empty):
