@@ -16,6 +16,8 @@ from loomline.session import spread
 
 #: Keys that hold at least this share of all rows are joined by broadcast; there can be no more than 1 / share of them.
 HOT_SHARE = 1 / 512
+#: Spark removes the shuffle files of a statement when it ends, instead of at some later collection of garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,10 +73,16 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Write to the shared folder as Parquet, partitioned by the given columns, and read again: compact, and columns are pruned on reading."""
+    """Write to the shared folder as Parquet, partitioned by the given columns, and read again: compact, and columns are pruned on reading.
+    The shuffle files of the write go as soon as the table is there, which replaces them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
