@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import bounded_batches, row_key, stored
+from loomline.llm.common import bounded_batches, releasing, row_key, stored
 from loomline.llm.exchange import binary, bucket_of, buckets_for, by_bucket, text_bytes, unpack
 from loomline.llm.textkit import HashIndex, mix, slices, words
 
@@ -111,7 +111,7 @@ def word_counts(train: DataFrame, buckets: int) -> DataFrame:
         w, c = _sum_by(unpack(group["ws"], np.uint64), unpack(group["cs"], np.int64))
         return pa.table({"w": w.view(np.int64), "c": c, "bucket": np.full(len(w), group["bucket"][0].as_py(), np.int32)})
 
-    return train.select("text").mapInArrow(local, "bucket int, ws binary, cs binary").groupBy("bucket").applyInArrow(merge, "w long, c long, bucket int")
+    return train.select("text").mapInArrow(releasing(local), "bucket int, ws binary, cs binary").groupBy("bucket").applyInArrow(merge, "w long, c long, bucket int")
 
 
 def chained(tokens: np.ndarray, bounds: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ def pair_counts(train: DataFrame, vocab, buckets: int) -> DataFrame:
         key, c = _sum_by(keys, counts)
         return pa.table({"bucket": [group["bucket"][0].as_py()], "keys": [_deltas(key)], "counts": [_zip(c.tobytes())]}, pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
-    rows = train.select("text").mapInArrow(local, "bucket int, keys binary, counts binary")
+    rows = train.select("text").mapInArrow(releasing(local), "bucket int, keys binary, counts binary")
     return rows.groupBy("bucket").applyInArrow(merge, "bucket int, keys binary, counts binary")
 
 
@@ -246,7 +246,7 @@ def rare_pairs(looked: DataFrame, sent) -> DataFrame:
                 at = slice(lo, lo + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (j, h.view(np.int64), w.view(np.int64), times, rare_h, rare_w)], ["j", "h", "w", "times", "rare_h", "rare_w"])
 
-    return looked.filter("octet_length(rare) > 0").select("j", "rare").mapInArrow(spread, "j long, h long, w long, times long, rare_h boolean, rare_w boolean")
+    return looked.filter("octet_length(rare) > 0").select("j", "rare").mapInArrow(releasing(spread), "j long, h long, w long, times long, rare_h boolean, rare_w boolean")
 
 
 def counted_words(rows: DataFrame, rarer: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def rare_pair_counts(rows: DataFrame, rarer: DataFrame, sent) -> DataFrame:
             hid = v.of_hashes(b["h"].to_numpy().view(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b["h"], b["w"], b["rare_h"], b["c"], pa.array(p), pa.array(hid)], ["h", "w", "rare_h", "c", "p", "hid"])
 
-    return counted_words(summed, rarer).mapInArrow(known, "h long, w long, rare_h boolean, c long, p double, hid long")
+    return counted_words(summed, rarer).mapInArrow(releasing(known), "h long, w long, rare_h boolean, c long, p double, hid long")
 
 
 def _discounted(c, d: np.ndarray):
@@ -317,7 +317,7 @@ class Contexts:
                 some = at[lo : lo + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(row[some]) for row in out)], ["h", "c", "m", "s"])
 
-        packed = pairs.coalesce(pairs.sparkSession.sparkContext.defaultParallelism).mapInArrow(sums, "h long, c double, m double, s double")
+        packed = pairs.coalesce(pairs.sparkSession.sparkContext.defaultParallelism).mapInArrow(releasing(sums), "h long, c double, m double, s double")
         others = rare.filter("not rare_h").select(F.col("hid").alias("h"), F.col("c").cast("double"), _discounted(F.col("c"), d).alias("m"), F.col("p").alias("s"))
         by_context = packed.unionByName(others).groupBy("h").agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.sum("s").alias("s")).toArrow()  # a line for each word of the vocabulary at most
         h, c, m, s = (by_context[x].to_numpy() for x in ("h", "c", "m", "s"))
@@ -393,7 +393,7 @@ def scored_pairs(keyed: DataFrame, pairs: DataFrame, vocab, contexts, buckets: i
                 np.add.at(total, np.frombuffer(rows, np.uint32), np.frombuffer(sums, np.float64))
         return pa.table({"k": k, "pair_score": total})
 
-    sent = keyed.select("k", "text").mapInArrow(local, "bucket int, flush long, keys binary, times binary, rows binary, ks binary")
+    sent = keyed.select("k", "text").mapInArrow(releasing(local), "bucket int, flush long, keys binary, times binary, rows binary, ks binary")
     parts = sent.groupBy("bucket").cogroup(pairs.select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(evaluate, "flush long, rows binary, sums binary, ks binary")
     return parts.groupBy("flush").applyInArrow(gather, "k long, pair_score double")
 
@@ -429,13 +429,14 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             yield pa.RecordBatch.from_arrays([pa.array(number), k, i, out, pa.array(np.diff(bounds) + 1), pa.array(known.astype(np.int64)), pa.array(base), binary(both, cuts)], ["j", "k", "i", "held", "n", "known", "base", "rare"])
 
     # a row's number j is fixed by writing it
-    looked = stored(keyed.mapInArrow(look, f"j long, k long, i {docs.schema[id_col].dataType.simpleString()}, held boolean, n long, known long, base double, rare binary"), "looked")
+    looked = stored(keyed.mapInArrow(releasing(look), f"j long, k long, i {docs.schema[id_col].dataType.simpleString()}, held boolean, n long, known long, base double, rare binary"), "looked")
     rarer = counts.filter(F.col("c") < vocab.least).select("w", F.col("c").alias("cw"))
     rare = stored(rare_pair_counts(rare_pairs(looked.filter("not held"), sent), rarer, sent), "rare_pairs")
     pairs = stored(pair_counts(train, sent, buckets), "pairs", "bucket")
     levels = Contexts(vocab, pairs, rare, sent)
     contexts = spark.sparkContext.broadcast(levels)
-    by_pairs = scored_pairs(keyed, pairs, sent, contexts, buckets).groupBy("k").agg(F.max("pair_score").alias("pair_score"))
+    # written, so that its exchanges are gone and its workers idle before the joins of rarer words begin
+    by_pairs = stored(scored_pairs(keyed, pairs, sent, contexts, buckets).groupBy("k").agg(F.max("pair_score").alias("pair_score")), "pair_scores")
 
     rows = counted_words(rare_pairs(looked, sent), rarer)
     inside = rows.filter("not rare_h").join(rare.filter("not rare_h").select("h", "w", "c"), ["h", "w"], "left")
@@ -457,7 +458,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             )
 
     with_rare = outside.select(*columns, "over", "plain", "weight").unionByName(inside.select(*columns), allowMissingColumns=True)
-    of_rare = with_rare.mapInArrow(finish, "j long, more_known long, more_base double, more_score double").groupBy("j").agg(*[F.sum(x).alias(x) for x in ("more_known", "more_base", "more_score")])
+    of_rare = with_rare.mapInArrow(releasing(finish), "j long, more_known long, more_base double, more_score double").groupBy("j").agg(*[F.sum(x).alias(x) for x in ("more_known", "more_base", "more_score")])
     zero = F.lit(0.0)
     return looked.drop("rare").join(by_pairs, "k", "left").join(of_rare, "j", "left").select(
         F.col("i").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
