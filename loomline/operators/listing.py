@@ -58,3 +58,15 @@ def catalogue(kinds: DataFrame, choice: str | None = None, level: str = "level",
     if not choice:
         return kinds
     return kinds.filter(F.col(used) > 0) if choice == "used" else kinds.filter(F.col(level) == choice)
+
+
+def accumulated(known: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """A catalogue with what a fresh listing says: its rows win, and known rows that it lacks stay, with retired set. Both have one row a key
+    and the same columns; a null key meets a null key."""
+    rest = [c for c in known.columns if c not in (key, "retired")]
+    old = known.select(F.col(key).alias("__k"), F.struct(*rest).alias("__o"), F.lit(True).alias("__was"))
+    new = fresh.select(F.col(key).alias("__n"), F.struct(*rest).alias("__f"), F.lit(True).alias("__is"))
+    both = old.join(new, F.col("__k").eqNullSafe(F.col("__n")), "full_outer")
+    row = F.when(F.col("__is"), F.col("__f")).otherwise(F.col("__o"))
+    named = F.when(F.col("__is"), F.col("__n")).otherwise(F.col("__k"))
+    return both.select(named.alias(key), row.alias("__r"), F.col("__is").isNull().alias("retired")).select(key, *[F.col("__r")[c].alias(c) for c in rest], "retired")

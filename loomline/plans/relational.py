@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from loomline.functions.calendar import in_days, period
 from loomline.operators import counting, setlike
+from loomline.operators.listing import accumulated
 from loomline.plans.registry import Tables, query
 
 #: The archive's owner: an entry is theirs when its segment or nation says so.
@@ -237,7 +238,7 @@ def _three(t: Tables) -> DataFrame:
 def _catalog(t: Tables) -> DataFrame:
     old = t.part.filter("p_partkey < 1000").groupBy("p_brand").agg(F.min("p_size").alias("v"))
     new = t.part.filter("p_partkey > 500 AND p_brand < 'Brand#4'").groupBy("p_brand").agg(F.max("p_size").alias("v"))
-    return old.alias("o").join(new.alias("n"), "p_brand", "full_outer").select("p_brand", F.coalesce("n.v", "o.v").alias("v"), F.col("n.v").isNull().alias("retired"))
+    return accumulated(old, new, "p_brand")
 
 
 @query("a3_events_per_item", f"WITH {_HISTORY} SELECT item_id, sum((event = 'edit')::INT)::BIGINT AS edits, count(*) AS n FROM h GROUP BY 1")

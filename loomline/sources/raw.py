@@ -21,6 +21,12 @@ def documents(spark: SparkSession, path: str, schema: StructType | str | None =
     return reader.schema(schema).json(path) if schema else reader.option("singleVariantColumn", "doc").json(path)
 
 
+def changed_since(spark: SparkSession, path: str, since: str, pattern: str = "*.json*") -> DataFrame:
+    """path, modified and length of files below path that changed after since (YYYY-MM-DDTHH:mm:ss in the session's time zone). No file is opened."""
+    reader = spark.read.format("binaryFile").option("modifiedAfter", since).option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    return reader.load(path).select("path", F.col("modificationTime").alias("modified"), "length")
+
+
 def lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines, gzip or not; the file each row is from in _file, its year in _year (of a name such as 2026.jsonl.gz)."""
     rows = spark.read.schema(schema).json(path).withColumn("_file", F.input_file_name())

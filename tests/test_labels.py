@@ -28,3 +28,26 @@ def test_listings(spark):
     assert listing.unlisted(posts.filter("id > 9"), "at").count() == 0
     maps = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 3}), (None, {"c": 1}), ({"d": 1}, None)], "x map<string,long>, y map<string,long>")
     assert [r[0] for r in maps.select(listing.overlaid(F.col("x"), F.col("y"))).collect()] == [{"a": 1, "b": 3}, {"c": 1}, {"d": 1}]
+
+
+def test_accumulated(spark):
+    known = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    fresh = spark.createDataFrame([("b", None), ("c", 5), (None, 6)], "k string, v int")
+    got = {r["k"]: (r["v"], r["retired"]) for r in listing.accumulated(known, fresh, "k").collect()}
+    assert got == {"a": (1, True), "b": (None, False), "c": (5, False), None: (6, False)}
+    again = listing.accumulated(listing.accumulated(known, fresh, "k"), known, "k")
+    assert {r["k"]: r["retired"] for r in again.collect()} == {"a": False, "b": False, "c": True, None: False}
+    assert listing.accumulated(known.filter("v > 9"), fresh.filter("v > 9"), "k").count() == 0
+
+
+def test_changed_since(spark, tmp_path):
+    import os
+
+    from loomline.sources.raw import changed_since
+
+    for name, at in (("old.json", 1_000_000_000), ("new.json", 1_700_000_000), ("new.txt", 1_700_000_000)):
+        (tmp_path / "x").mkdir(exist_ok=True)
+        (tmp_path / "x" / name).write_text("{}")
+        os.utime(tmp_path / "x" / name, (at, at))
+    got = changed_since(spark, str(tmp_path), "2020-01-01T00:00:00").collect()
+    assert [(r["path"].rsplit("/", 1)[1], r["length"]) for r in got] == [("new.json", 2)]
