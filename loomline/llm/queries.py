@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import chat_repair, exact_dedup, jaccard_join, katz, line_crf, mixing, piece_codec, posting_ann, substring_dedup, url_filter
+from loomline.llm import centroids, chat_repair, exact_dedup, jaccard_join, katz, line_crf, mixing, piece_codec, posting_ann, substring_dedup, url_filter
 from loomline.llm.common import table
 
 
@@ -149,6 +149,34 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (line_crf.part_of("doc_id", 4) == 2).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    """Each round as a relation of its own: places, then the centroids they give."""
+    parts = [
+        """v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+     c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, q FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v ORDER BY h LIMIT 40))"""
+    ]
+    for k in range(6):
+        parts.append(
+            f"""p{k} AS (SELECT vec_id, any_value(q) AS q, min(d * 64 + c) % 64 AS c, min(d) AS d
+          FROM (SELECT v.vec_id, v.q, c{k}.c, list_sum(list_transform(list_zip(v.q, c{k}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{k}) GROUP BY vec_id)"""
+        )
+        if k < 5:
+            parts.append(
+                f"""m{k} AS (SELECT c, list(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END::BIGINT ORDER BY j) AS q
+          FROM (SELECT c, j, sum(q[j])::BIGINT AS s, count(*)::BIGINT AS n FROM p{k}, range(1, 65) r(j) GROUP BY c, j) GROUP BY c),
+     c{k + 1} AS (SELECT c{k}.c, coalesce(m{k}.q, c{k}.q) AS q FROM c{k} LEFT JOIN m{k} USING (c))"""
+            )
+    return "WITH " + ",\n     ".join(parts) + """
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c5.q, ',')) AS centroid_sha256 FROM p5 JOIN c5 USING (c)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_chat_repair": op1_chat_repair,
@@ -161,8 +189,9 @@ def queries() -> dict:
         "op8_katz_score": op8_katz_score,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_crf": op10_quality_crf,
+        "op12_centroids": op12_centroids,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_mix_sources": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op12_centroids": _op12_sql()}
