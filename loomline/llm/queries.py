@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import centroids, chat_repair, exact_dedup, jaccard_join, katz, line_crf, mixing, piece_codec, posting_ann, substring_dedup, url_filter
+from loomline.llm import centroids, chat_repair, exact_dedup, jaccard_join, katz, line_crf, mixing, piece_codec, posting_ann, prefix_trie, substring_dedup, url_filter
 from loomline.llm.common import table
 
 
@@ -177,6 +177,31 @@ SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS r, coalesce(text, '') AS x
+           FROM conversations WHERE conv_id IS NOT NULL),
+ k AS (SELECT c, max(pos) AS n, c - c % 100 AS b,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda z: ascii(z)::BIGINT)),
+           lambda a, z: list_reduce(list_prepend(xor(a, z), range(8)), lambda y, i: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h
+       FROM t GROUP BY c),
+ r AS (SELECT k.c, t.pos AS d, r, x FROM k JOIN t ON t.c = k.b AND t.pos <= k.h
+       UNION ALL SELECT k.c, least(k.h, coalesce(o.n, 0)) + t.pos - k.h, r, x FROM k JOIN t USING (c) LEFT JOIN k o ON o.c = k.b WHERE t.pos > k.h),
+ p AS (SELECT c, d, x, array_to_string(list(md5(len(r) || ':' || r || x)) OVER (PARTITION BY c ORDER BY d), ' ') AS path FROM r
+       UNION ALL SELECT c, 0, '', '' FROM k),
+ q AS (SELECT *, max(d) OVER (PARTITION BY c) AS n, lag(path) OVER (PARTITION BY c ORDER BY d) AS up FROM p),
+ e AS (SELECT d, path, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(len(x)) AS own,
+              sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM q GROUP BY d, path),
+ f AS (SELECT e.*, (SELECT count(*) FROM e g WHERE g.d = e.d + 1 AND g.up = e.path) AS n_children FROM e),
+ s AS (SELECT q.d, q.path, sum((f.n_children = 0)::INT) AS n_leaves, sum(f.own) AS saved_tokens FROM f JOIN q ON q.c = f.conv_id AND q.d <= f.d GROUP BY q.d, q.path)
+SELECT f.conv_id, f.d::BIGINT AS depth, g.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.d = f.d AND s.path = f.path LEFT JOIN e g ON g.d = f.d - 1 AND g.path = f.up
+"""
+
+
 def queries() -> dict:
     return {
         "op1_chat_repair": op1_chat_repair,
@@ -190,8 +215,9 @@ def queries() -> dict:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_crf": op10_quality_crf,
         "op12_centroids": op12_centroids,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_mix_sources": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op12_centroids": _op12_sql()}
+    return {"op2_mix_sources": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op12_centroids": _op12_sql(), "op13_prefix_trie": OP13_SQL}
