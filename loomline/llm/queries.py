@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import centroids, chat_repair, exact_dedup, jaccard_join, katz, line_crf, mixing, piece_codec, posting_ann, prefix_trie, substring_dedup, url_filter
+from loomline.llm import centroids, chat_repair, exact_dedup, fertility, jaccard_join, katz, line_crf, mixing, piece_codec, posting_ann, prefix_trie, substring_dedup, url_filter
 from loomline.llm.common import table
 
 
@@ -149,6 +149,13 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (line_crf.part_of("doc_id", 4) == 2).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return fertility.judged(docs, piece_model(), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))
 
@@ -214,6 +221,7 @@ def queries() -> dict:
         "op8_katz_score": op8_katz_score,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_crf": op10_quality_crf,
+        "op11_fertility": op11_fertility,
         "op12_centroids": op12_centroids,
         "op13_prefix_trie": op13_prefix_trie,
     }

@@ -146,3 +146,28 @@ class HashIndex:
             go = (got >= 0) & ~same
             left, slot = left[go], slot[go] + 1
         return out
+
+
+def spans(data: np.ndarray, off: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of bytes that are not apart (a table of 256 flags) and stay within a row, and for each row the number of runs before it."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    gap = apart[data]
+    first = np.empty(n, bool)
+    first[0], first[1:] = True, gap[:-1]
+    inner = off[(off > 0) & (off < n)]
+    first[inner] = True
+    last = np.empty(n, bool)
+    last[-1], last[:-1] = True, gap[1:]
+    last[inner - 1] = True
+    starts = np.flatnonzero(first & ~gap)
+    return starts, np.flatnonzero(last & ~gap) + 1, np.searchsorted(starts, off)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes: equal bytes, equal hash."""
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * powers(_B, len(data)), out=total[1:])
+        return mix((total[ends] - total[starts]) * powers(_B_INV, len(data) + 1)[starts])
