@@ -117,16 +117,20 @@ class Archive:
         """The comments of a post in pre-order with depth, a part at a time; the post itself is a row of table("posts")."""
         there = self.table("comments").filter(F.col("entry_id") == post)
         listed = forest.preorder(there.select("id", F.col("reply_to").alias("parent"), "date"))
-        rows = there.join(listed.select("id", "root", "depth", "path"), "id")
-        return rows.orderBy("path").offset(max(0, offset)).limit(max(1, min(limit, 1000))).select("id", "depth", "author", "date", F.col("data.text").alias("text"), "donation", "donated", "mine")
+        roots = there.select(F.col("id").alias("root"), F.col("date").alias("root_date"))
+        rows = there.join(listed.join(roots, "root"), "id")
+        return rows.orderBy("root_date", "root", "pre").offset(max(0, offset)).limit(max(1, min(limit, 1000))).select("id", "depth", "author", "date", F.col("data.text").alias("text"), "donation", "donated", "mine")
 
     def get_comment(self, comment: int) -> DataFrame:
         """A comment, what it answers from the root on, and all that answers it: relation is above, self or below."""
         rows = self.table("comments")
         edges = rows.select("id", F.col("reply_to").alias("parent")).join(rows.filter(F.col("id") == comment).select("entry_id").join(rows, "entry_id").select("id"), "id", "left_semi")
-        up = forest.ancestors(edges)
-        above = up.filter(F.col("id") == comment).select(F.col("ancestor").alias("id"), F.lit("above").alias("relation"), (-F.col("up")).alias("distance"))
-        below = up.filter(F.col("ancestor") == comment).select("id", F.lit("below").alias("relation"), F.col("up").alias("distance"))
+        listed = forest.intervals(edges.join(rows.select("id", "date"), "id"))
+        of = listed.filter(F.col("id") == comment).select(F.col("root").alias("of_root"), F.col("pre").alias("of_pre"), F.col("size").alias("of_size"), F.col("depth").alias("of_depth"))
+        near = listed.join(F.broadcast(of), F.col("root") == F.col("of_root")).withColumn("distance", (F.col("depth") - F.col("of_depth")).cast("int"))  # one row of the comment itself
+        inside = lambda pre, start, size: (pre > start) & (pre < start + size)
+        above = near.filter(inside(F.col("of_pre"), F.col("pre"), F.col("size"))).select("id", F.lit("above").alias("relation"), "distance")
+        below = near.filter(inside(F.col("pre"), F.col("of_pre"), F.col("of_size"))).select("id", F.lit("below").alias("relation"), "distance")
         self_ = rows.filter(F.col("id") == comment).select("id", F.lit("self").alias("relation"), F.lit(0).alias("distance"))
         return above.unionByName(self_).unionByName(below).join(rows.select("id", "author", "date", F.col("data.text").alias("text")), "id", "left").orderBy("distance", "date", "id")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from loomline.functions.calendar import period
+from loomline.session import shared_dir
 
 PERIODS = ("year", "month", "day")
 
@@ -68,8 +69,10 @@ def prefix_budget(rows: DataFrame, order: list[Column], size: str, budget: Colum
 
 
 def ranged_sum(rows: DataFrame, order: list[Column], size: str, out: str) -> DataFrame:
-    """out: the sum of size over all rows before each in the order. Rows are dealt by range; sums of the parts are a line a partition."""
-    dealt = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    """out: the sum of size over all rows before each in the order. Rows are dealt by range once, for ranges come from a sample and the sums of the
+    parts must be of the same; these sums are a line a partition."""
+    shared_dir(rows.sparkSession)
+    dealt = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).checkpoint()
     sums = dealt.groupBy("__p").agg(F.sum(size).alias("__s"))
     ahead = sums.withColumn("__base", F.coalesce(F.sum("__s").over(W.Window.orderBy("__p").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
     inside = W.Window.partitionBy("__p").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)

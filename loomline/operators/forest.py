@@ -1,11 +1,16 @@
-"""Forests by parent links: ancestors, descendants, roots, pruning, listings."""
+"""Forests by parent links: ancestors, descendants, roots, pruning, listings.
+
+Sums along a path and over a subtree, depths, places in pre-order and pruning come by pointer doubling (climbed, intervals): a row a node, whatever
+the depth, and as many rounds as its logarithm. Only ancestors() and descendants() list pairs, because pairs are what they return.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.session import configure, shared_dir
+from loomline.operators.counting import ranged_sum
+from loomline.session import configure, discard, shared_dir, stored
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
@@ -24,20 +29,8 @@ def ancestors(edges: DataFrame) -> DataFrame:
 
 
 def roots(edges: DataFrame) -> DataFrame:
-    """(id, root, depth) of every id by pointer doubling: as many joins as the logarithm of the greatest depth. An absent parent does not count:
-    the topmost present ancestor is the root. Members of a cycle get the smallest id of it reached, and the depth walked."""
-    spark = edges.sparkSession
-    shared_dir(spark)
-    one = edges.groupBy("id").agg(F.max("parent").alias("parent"))
-    there = one.select(F.col("id").alias("p"))
-    now = one.join(there, F.col("parent") == F.col("p"), "left").select("id", F.coalesce("p", "id").alias("root"), F.when(F.col("p").isNull() | (F.col("p") == F.col("id")), 0).otherwise(1).cast("long").alias("depth")).checkpoint()
-    for _ in range(64):
-        up = now.select(F.col("id").alias("root"), F.col("root").alias("r"), F.col("depth").alias("d"))
-        new = now.join(up, "root").select("id", F.col("root").alias("was"), F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth")).checkpoint()
-        if not new.filter("was != root").take(1):
-            return new.select("id", "root", "depth")
-        now = new.select("id", "root", "depth")
-    return now
+    """(id, root, depth) of every id. An absent parent does not count: the topmost present ancestor is the root; of a cycle it is the smallest id."""
+    return climbed(tidy(edges.select("id", "parent"))).select("id", "root", "depth")
 
 
 def descendants(edges: DataFrame) -> DataFrame:
@@ -45,14 +38,87 @@ def descendants(edges: DataFrame) -> DataFrame:
     return ancestors(edges).select(F.col("ancestor").alias("id"), F.col("id").alias("descendant"), F.col("up").alias("down"))
 
 
+def tidy(nodes: DataFrame) -> DataFrame:
+    """One row an id, with its largest parent if that is there, another, and not 0 (which marks a root). Other columns keep their largest value. The result is checkpointed."""
+    shared_dir(nodes.sparkSession)
+    rest = [c for c in nodes.columns if c not in ("id", "parent")]
+    one = nodes.filter("id is not null").groupBy("id").agg(F.max("parent").alias("p"), *[F.max(c).alias(c) for c in rest])
+    there = one.filter("id != 0").select(F.col("id").alias("parent"))
+    return one.join(there, (F.col("p") == F.col("parent")) & (F.col("p") != F.col("id")), "left").select("id", "parent", *rest).checkpoint()
+
+
+def _uncycled(tree: DataFrame) -> DataFrame:
+    """tree without the links that close its cycles: the smallest id of each becomes a root. After as many doublings as the logarithm of the
+    number of nodes, a way that has not ended goes round a cycle and has met its smallest id."""
+    now, at = stored(tree.select("id", F.col("parent").alias("up"), F.col("id").alias("least")), "cycles")
+    total, steps = tree.count(), 1
+    while steps <= 2 * total:
+        far = now.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("least").alias("far_least"))
+        was = at
+        now, at = stored(now.join(far, "up", "left").select("id", F.col("far").alias("up"), F.least("least", "far_least").alias("least")), "cycles")
+        discard(tree.sparkSession, was)
+        steps *= 2
+    round_it = now.filter("up is not null").select(F.col("up").alias("id")).distinct().join(now.select("id", "least"), "id")
+    cut = round_it.filter("id = least").select("id", F.lit(True).alias("cut"))
+    rest = [c for c in tree.columns if c not in ("id", "parent")]
+    return tree.join(cut, "id", "left").select("id", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent"), *rest).checkpoint()
+
+
+def climbed(tree: DataFrame, above: tuple[str, ...] = (), below: tuple[str, ...] = ()) -> DataFrame:
+    """tree: tidy (id, parent, numbers) -> id, parent, root, depth, above_x: the sum of x over all nodes above, below_x: over the node and all
+    below it. After k rounds a row knows what is within 2**k links of it, upwards by joining the row that it points to, downwards by adding up
+    the rows that point to it. A cycle is cut above its smallest id, which parent shows."""
+    steps, total = 1, tree.count()
+    ups = {f"above_{c}": F.coalesce(F.col(c), F.lit(0)) for c in above} | {"depth": F.lit(1).cast("long")}
+    downs = {f"below_{c}": F.coalesce(F.col(c), F.lit(0)) for c in below}
+    now, at = stored(tree.select("id", "parent", F.col("parent").alias("up"), F.coalesce("parent", "id").alias("root"), *[v.alias(k) for k, v in {**ups, **downs}.items()]), "climbed")
+    while now.filter("up is not null").limit(1).count():
+        if steps > 2 * total:
+            return climbed(_uncycled(tree), above, below)
+        steps *= 2
+        far = now.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("root").alias("far_root"), *[F.col(k).alias(f"far_{k}") for k in ups])
+        rows = now.join(far, "up", "left")
+        if downs:
+            adds = now.filter("up is not null").groupBy(F.col("up").alias("to")).agg(*[F.sum(k).alias(f"add_{k}") for k in downs])
+            rows = rows.join(adds, F.col("id") == F.col("to"), "left")
+        further = rows.select(
+            "id", "parent", F.col("far").alias("up"), F.coalesce("far_root", "root").alias("root"),
+            *[(F.col(k) + F.coalesce(f"far_{k}", F.lit(0))).alias(k) for k in ups], *[(F.col(k) + F.coalesce(f"add_{k}", F.lit(0))).alias(k) for k in downs],
+        )
+        was = at
+        now, at = stored(further, "climbed")
+        discard(tree.sparkSession, was)
+    own = tree.select(F.col("id").alias("own"), *[F.coalesce(F.col(c), F.lit(0)).alias(f"own_{c}") for c in above])
+    strict = now.join(own, F.col("id") == F.col("own")) if above else now
+    return strict.select("id", "parent", "root", (F.col("depth") - 1).alias("depth"), *[(F.col(f"above_{c}") - F.col(f"own_{c}")).alias(f"above_{c}") for c in above], *downs)
+
+
+def intervals(nodes: DataFrame) -> DataFrame:
+    """nodes: (id, parent, date) -> (id, parent, date, root, depth, pre, size): a tree in pre-order, children by (date, id), takes the places 0, 1, ...;
+    a node and all below it take pre .. pre + size - 1. A node's place is the sum, over itself and the nodes above, of one more than the sizes of the
+    siblings before; those are running sums over all nodes ordered by parent, dealt by range, so that a node with very many children is no one task."""
+    tree = tidy(nodes.select("id", "parent", "date"))
+    sized = climbed(tree.withColumn("one", F.lit(1).cast("long")), below=("one",)).join(tree.select("id", "date"), "id").checkpoint()
+    order = [F.col("parent"), F.col("date").asc_nulls_first(), F.col("id")]
+    before = ranged_sum(sized.filter("parent is not null").select("id", "parent", "date", "below_one"), order, "below_one", "before").checkpoint()
+    first = before.groupBy(F.col("parent").alias("of")).agg(F.min("before").alias("first"))
+    steps = before.join(first, F.col("parent") == F.col("of")).select("id", (1 + F.col("before") - F.col("first")).alias("step"))
+    stepped = sized.select("id", "parent").join(steps, "id", "left").checkpoint()
+    places = climbed(stepped, above=("step",)).select("id", "above_step").join(stepped.select("id", F.coalesce("step", F.lit(0)).alias("step")), "id")
+    return sized.join(places, "id").select("id", "parent", "date", "root", "depth", (F.col("above_step") + F.col("step")).alias("pre"), F.col("below_one").alias("size"))
+
+
+def subtree_sizes(edges: DataFrame) -> DataFrame:
+    """(id, n): how many nodes are below each node that has any."""
+    return climbed(tidy(edges.select("id", "parent")).withColumn("one", F.lit(1).cast("long")), below=("one",)).filter("below_one > 1").select("id", (F.col("below_one") - 1).alias("n"))
+
+
 def keep(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """ids that pruning keeps for the wanted (id): those present, their ancestors present, and their whole subtrees."""
-    present = edges.select("id").distinct()
-    wanted = ids.join(present, "id", "left_semi")
-    chain = ancestors(edges).join(present.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi")
-    above = chain.join(wanted, "id", "left_semi").select(F.col("ancestor").alias("id"))
-    below = chain.join(wanted.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").select("id")
-    return wanted.select("id").unionByName(above).unionByName(below).distinct()
+    """ids that pruning keeps for the wanted (id): those present, their ancestors present, and their whole subtrees. A node stays if there is a
+    wanted one above it, or at or below it."""
+    marks = ids.select("id").distinct().withColumn("wanted", F.lit(1).cast("long"))
+    tree = tidy(edges.select("id", "parent")).join(marks, "id", "left")
+    return climbed(tree, above=("wanted",), below=("wanted",)).filter("above_wanted > 0 or below_wanted > 0").select("id")
 
 
 def missing(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -60,14 +126,8 @@ def missing(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
-    """nodes: (id, parent, date) -> (id, root, depth, path): ordering by (root's date, path) lists every tree in pre-order, children by (date, id)."""
-    up = ancestors(nodes.select("id", "parent"))
-    dated = nodes.select(F.col("id").alias("ancestor"), F.col("date").alias("d"))
-    above = up.join(dated, "ancestor").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("o"), F.col("d"), F.col("ancestor").alias("a")))).alias("chain"))
-    own = F.array(F.struct(F.col("date").alias("d"), F.col("id").alias("a")))
-    path = F.concat(F.coalesce(F.transform("chain", lambda x: F.struct(x["d"].alias("d"), x["a"].alias("a"))), F.array().cast("array<struct<d:bigint,a:bigint>>")), own)
-    out = nodes.join(above, "id", "left").withColumn("path", path.cast("array<struct<d:bigint,a:bigint>>"))
-    return out.select("id", F.col("path")[0]["a"].alias("root"), (F.size("path") - 1).alias("depth"), "path")
+    """nodes: (id, parent, date) -> (id, root, depth, pre): ordering by (root's date, root, pre) lists every tree in pre-order, children by (date, id)."""
+    return intervals(nodes).select("id", "root", "depth", "pre")
 
 
 def shown(edges: DataFrame, mine: DataFrame) -> DataFrame:

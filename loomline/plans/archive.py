@@ -58,16 +58,14 @@ def _g7(t: Tables) -> DataFrame:
 
 @query("g9_subtree_sizes", f"{_UP} SELECT ancestor AS id, count(*) AS n FROM up GROUP BY 1")
 def _g9(t: Tables) -> DataFrame:
-    return forest.descendants(tree(t)).groupBy("id").agg(F.count("*").alias("n"))
+    return forest.subtree_sizes(tree(t))
 
 
 @query("g11_preorder", f"""{_UP.replace("WITH RECURSIVE", "WITH RECURSIVE", 1)}, p(id, root, depth, path) AS (SELECT id, id, 0, lpad(d::VARCHAR, 4, '0') || lpad(id::VARCHAR, 9, '0') FROM e WHERE id BETWEEN 1 AND 9
    UNION ALL SELECT e.id, p.root, p.depth + 1, p.path || '/' || lpad(e.d::VARCHAR, 4, '0') || lpad(e.id::VARCHAR, 9, '0') FROM p JOIN e ON e.parent = p.id AND e.id <> p.id) SELECT id, root, depth::BIGINT AS depth, row_number() OVER (PARTITION BY root ORDER BY path) AS place FROM p""")
 def _g11(t: Tables) -> DataFrame:
-    from pyspark.sql import window as W
-
     rows = forest.preorder(tree(t).filter("id > 0").withColumn("parent", F.when(F.col("parent") > 0, F.col("parent"))))
-    return rows.select("id", "root", F.col("depth").cast("long").alias("depth"), F.row_number().over(W.Window.partitionBy("root").orderBy("path")).cast("long").alias("place"))
+    return rows.select("id", "root", "depth", (F.col("pre") + 1).alias("place"))
 
 
 @query("m5_events", f"WITH {_HISTORY}, r AS (SELECT *, lag(event) OVER (PARTITION BY item_id ORDER BY ts, id) AS b FROM h WHERE event IN ('removed', 'restored')) SELECT id, item_id, event FROM r WHERE event IS DISTINCT FROM b AND NOT (event = 'restored' AND b IS DISTINCT FROM 'removed')")

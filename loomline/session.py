@@ -43,3 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet to a new folder of the shared one and read again, and the folder. Rounds of a loop take this and not checkpoint(): what
+    Spark knows of the partitioning of a checkpointed frame grows with every join, and so does the time to plan."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored folder that no frame reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
