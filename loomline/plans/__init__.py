@@ -6,7 +6,7 @@ import importlib
 
 from loomline.plans.registry import QUERIES, SQL, Query
 
-MODULES = ("relational", "text", "search", "archive", "content", "listing")
+MODULES = ("relational", "text", "search", "archive", "content", "listing", "repair")
 
 
 def _load() -> None:

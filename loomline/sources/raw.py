@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 
 def documents(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -174,3 +174,74 @@ def register(spark: SparkSession) -> None:
     """Make the formats sqlite and paged known."""
     for source in (SqliteSource, PagedSource):
         spark.dataSource.register(source)
+
+
+_PARTS = StructType([StructField("whole", BooleanType()), StructField("head", StringType()), StructField("items", ArrayType(StringType()))])
+
+
+def _salvaged(data: bytes | None, name: str = "items") -> dict:
+    """As much of a document {..., name: [...]} as can be read: gzip up to where it breaks, then whole items up to where the text breaks."""
+    unreadable = {"whole": False, "head": None, "items": []}
+    if not data:
+        return unreadable
+    whole = True
+    if data[:2] == b"\x1f\x8b":
+        inflater, out = zlib.decompressobj(31), []
+        try:
+            for k in range(0, len(data), 4096):
+                out.append(inflater.decompress(data[k : k + 4096]))
+        except zlib.error:
+            whole = False
+        data, whole = b"".join(out), whole and inflater.eof
+    text = data.decode("utf-8", "ignore")
+    if whole:
+        try:
+            doc = json.loads(text)
+            if isinstance(doc, dict) and isinstance(doc.get(name, []), list):
+                items = doc.pop(name, [])
+                dump = lambda x: json.dumps(x, ensure_ascii=False)
+                return {"whole": True, "head": dump(doc), "items": [dump(x) for x in items if isinstance(x, dict)]}
+        except ValueError:
+            pass
+    head, found, rest = text.partition(f'"{name}"')
+    at = rest.find("[") + 1
+    if not found or not at:
+        return unreadable
+    decoder, items = json.JSONDecoder(), []
+    try:
+        while True:
+            while rest[at : at + 1] in (" ", "\n", "\t", "\r", ","):
+                at += 1
+            item, at = decoder.raw_decode(rest, at)
+            items.append(json.dumps(item, ensure_ascii=False))
+    except ValueError:
+        head = head.rstrip().rstrip(",")
+        return {"whole": False, "head": head + "}" if head.startswith("{") else None, "items": items}
+
+
+def salvaged(content, name: str = "items"):
+    """whole, head (the document without its items, as JSON) and items (each as JSON) of a document that may be cut short."""
+
+    @F.pandas_udf(_PARTS)
+    def read(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_salvaged(None if d is None else bytes(d), name) for d in data], columns=["whole", "head", "items"])
+
+    return read(content)
+
+
+def tree_copies(spark: SparkSession, folders: dict[int, str], sig=None) -> tuple[DataFrame, DataFrame]:
+    """Copies of trees in folders, each with the rank of its source: files <tree>.json.gz with fetchedAt and items -> (copies, nodes) for repair.rebuilt. A damaged file
+    gives the items before its damage. sig: a function of (kind, JSON text) columns for signatures."""
+    from functools import reduce
+
+    from loomline.operators.versions import signature
+
+    sign = sig or signature
+    one = lambda rank, path: spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").load(path).select(F.regexp_extract("path", r"(\d+)\.json", 1).try_cast("long").alias("tree"), F.lit(rank).alias("source"), salvaged("content").alias("x"))
+    files = reduce(DataFrame.unionByName, [one(rank, path) for rank, path in folders.items()])
+    fetched = F.coalesce(F.get_json_object("x.head", "$.fetchedAt").try_cast("long"), F.lit(0))
+    copies = files.select("tree", "source", fetched.alias("fetched"), F.coalesce("x.whole", F.lit(False)).alias("whole"))
+    get = lambda path: F.get_json_object("body", path)
+    items = files.select("tree", "source", F.explode("x.items").alias("body"))
+    nodes = items.select("tree", "source", get("$.id").try_cast("long").alias("id"), get("$.replyTo").try_cast("long").alias("parent"), get("$.date").try_cast("long").alias("date"), sign(F.lit("comment"), F.col("body")).alias("sig"), "body")
+    return copies, nodes.filter("id is not null")
