@@ -1,12 +1,13 @@
-"""Repair over the tables: conversations are trees of which three copies survive, each damaged by a rule of its own."""
+"""Repair and merging over the tables: conversations are trees of which three copies survive, each damaged by a rule of its own."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators import consistency, repair
+from loomline.operators import consistency, guard, repair
 from loomline.plans.registry import Tables, query
+from loomline.sources import buckets
 
 
 def three(t: Tables, rows: DataFrame) -> DataFrame:
@@ -153,3 +154,25 @@ def _holds_sql(table: str, name: str, condition: str, example: str) -> str:
 def _i12(t: Tables) -> DataFrame:
     tables = {n: getattr(t, n) for n in ("documents", "orders", "lineitem", "customer", "labels")}
     return consistency.check(tables, CONSTRAINTS).withColumn("examples", F.array_join("examples", " "))
+
+
+_FEED = """o AS (SELECT conv_id * 1000 + turn AS key, text, CASE WHEN (conv_id + turn) % 13 = 0 THEN 'gone' END AS state, (conv_id + turn) % 11 = 0 AS damaged, md5(text) AS sig FROM conversations WHERE (conv_id + turn) % 5 <> 0),
+ n AS (SELECT conv_id * 1000 + turn AS key, CASE WHEN conv_id % 6 = 5 THEN 1 WHEN conv_id % 6 < 4 THEN 7 END AS author, CASE WHEN turn % 3 = 0 AND conv_id % 3 = 0 THEN '' WHEN turn % 4 = 1 THEN '.' WHEN conv_id % 4 = 0 THEN text || '!' ELSE text END AS text FROM conversations WHERE (conv_id + turn) % 7 <> 0),
+ j AS (SELECT coalesce(o.key, n.key) AS key, o.key IS NOT NULL AS old, NOT coalesce(damaged, true) AS sound, o.text AS ot, o.state, o.sig, n.text AS nt, md5(n.text) AS nsig, n.key IS NOT NULL AND coalesce(author = 7, true) AS fresh FROM o FULL JOIN n ON o.key = n.key),
+ w AS (SELECT *, CASE WHEN fresh AND sound AND ot <> '' THEN CASE WHEN nt = '' THEN 'removed' WHEN length(trim(ot)) >= 40 AND length(trim(nt)) <= 3 THEN 'wiped' END END AS why FROM j)"""
+
+
+@query("m3_feed_upsert", f"""WITH {_FEED} SELECT key AS id, CASE WHEN fresh AND why IS NULL THEN NULL ELSE coalesce(state, why) END AS state, CASE WHEN fresh AND why IS NULL THEN nsig ELSE sig END AS sig,
+  array_to_string(list_filter([CASE WHEN fresh AND NOT old THEN 'insert' END, CASE WHEN why IS NOT NULL AND state IS NULL THEN 'removed' END, CASE WHEN fresh AND old AND NOT sound THEN 'found' END,
+   CASE WHEN fresh AND sound AND why IS NULL AND sig <> nsig THEN 'edit' END, CASE WHEN fresh AND sound AND why IS NULL AND state IS NOT NULL THEN 'restored' END], lambda x: x IS NOT NULL), ' ') AS events FROM w WHERE old OR fresh""")
+def _m3(t: Tables) -> DataFrame:
+    """A feed that lost texts, changed some and has comments of others, against an archive with damaged and marked ones."""
+    no = F.lit(False)
+    flags = dict.fromkeys(("moderator", "hidden", "author_deleted", "author_frozen", "removed"), no)
+    base = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "conv_id", "turn", "text")
+    shaped = lambda d, author, state, damaged: F.struct(author.cast("int").alias("author"), "text", guard.comment_stub(F.col("text"), no, flags).alias("stub"), no.alias("media"), F.md5(F.col("text").cast("binary")).alias("sig"), damaged.alias("damaged"), state.cast("string").alias("state"), F.lit(None).cast("long").alias("state_at"))
+    old = base.filter("(conv_id + turn) % 5 != 0").select("key", shaped(base, F.lit(7), F.expr("CASE WHEN (conv_id + turn) % 13 = 0 THEN 'gone' END"), F.expr("(conv_id + turn) % 11 = 0")).alias("o"))
+    text = F.expr("CASE WHEN turn % 3 = 0 AND conv_id % 3 = 0 THEN '' WHEN turn % 4 = 1 THEN '.' WHEN conv_id % 4 = 0 THEN concat(text, '!') ELSE text END")
+    new = base.filter("(conv_id + turn) % 7 != 0").withColumn("text", text).select("key", shaped(base, F.expr("CASE WHEN conv_id % 6 = 5 THEN 1 WHEN conv_id % 6 < 4 THEN 7 END"), F.lit(None), no).alias("n"))
+    merged = buckets.feed_rule(7, 1)(old.join(new, "key", "full_outer")).filter("row is not null")
+    return merged.select(F.col("key").alias("id"), "row.state", "row.sig", F.array_join("events", " ").alias("events"))

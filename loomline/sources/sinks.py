@@ -20,29 +20,58 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def commit(spark: SparkSession, folder: str, number: int, state: dict) -> bool:
+    """Put state down as the entry of a number in a log of a folder; false if another writer was first. An entry is written under a name of its own and renamed, so a
+    reader sees all of it or none, and no entry is ever taken away."""
+    (staged, fs), (final, _) = _path(spark, f"{folder}/.{number:012d}-{uuid.uuid4().hex}"), _path(spark, f"{folder}/{number:012d}.json")
+    fs.mkdirs(final.getParent())
+    out = fs.create(staged, False)
+    out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
+    out.close()
+    done = not fs.exists(final) and fs.rename(staged, final)
+    if not done:
+        fs.delete(staged, False)
+    return done
+
+
+def committed(spark: SparkSession, folder: str) -> tuple[int, dict]:
+    """Number and state of the last entry of a log; (0, {}) where there is none."""
+    p, fs = _path(spark, folder)
+    if not fs.exists(p):
+        return 0, {}
+    numbers = [int(n.partition(".")[0]) for f in fs.listStatus(p) if (n := f.getPath().getName()).endswith(".json") and not n.startswith(".")]
+    if not numbers:
+        return 0, {}
+    entry, _ = _path(spark, f"{folder}/{max(numbers):012d}.json")
+    opened = fs.open(entry)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(opened, spark._jvm.java.nio.charset.StandardCharsets.UTF_8)
+    finally:
+        opened.close()
+    return max(numbers), json.loads(text)
+
+
 def publish(frames: dict[str, DataFrame], root: str, version: str | None = None) -> str:
-    """Write all tables to a new folder, then point to it: readers see the whole old state or the whole new one. Returns the folder."""
+    """Write all tables to a new folder, then point to it by the next entry of a log: readers see the whole old state or the whole new one, after a crash in between as
+    well. Returns the folder."""
     spark = next(iter(frames.values())).sparkSession
     name = version or uuid.uuid4().hex
     for table, df in frames.items():
         df.write.parquet(f"{root}/versions/{name}/{table}")
-    pointer = spark.createDataFrame([(name, VIEW_FORMAT)], "version string, view_format int")
-    staged = f"{root}/pointer-{name}"
-    pointer.coalesce(1).write.json(staged)
-    (old, fs), (new, _) = _path(spark, f"{root}/current"), _path(spark, staged)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"could not publish {name}")
+    while not commit(spark, f"{root}/current", committed(spark, f"{root}/current")[0] + 1, {"version": name, "view_format": VIEW_FORMAT}):
+        pass
     return f"{root}/versions/{name}"
 
 
 def current(spark: SparkSession, root: str) -> str | None:
     """The published folder; null where there is none, or one of another format."""
-    p, fs = _path(spark, f"{root}/current")
-    if not fs.exists(p):
-        return None
-    row = spark.read.schema("version string, view_format int").json(f"{root}/current").first()
-    return f"{root}/versions/{row['version']}" if row and row["view_format"] == VIEW_FORMAT else None
+    _, state = committed(spark, f"{root}/current")
+    return f"{root}/versions/{state['version']}" if state.get("view_format") == VIEW_FORMAT else None
 
 
 def versions_of(spark: SparkSession, files: list[str]) -> str:

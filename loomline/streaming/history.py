@@ -68,19 +68,21 @@ def windowed_counts(rows: DataFrame, ts: str, by: str, length: str = "1 day", la
     return rows.withWatermark(ts, late).groupBy(F.window(ts, length), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
-def upserted(stream: DataFrame, table: str, key: str, checkpoint: str):
+def upserted(stream: DataFrame, table: str, key: str, checkpoint: str, order: tuple[str, ...] = ()):
     """A stream of rows kept as the latest row a key in versioned Parquet: each batch rewrites the table beside the old one and points to it, so a
-    repeated batch gives the same table."""
+    repeated batch gives the same table. Of a batch's rows of one key the last by order counts (without one, by all columns). For tables that are large
+    beside their batches see sources.buckets."""
     from loomline.operators.setlike import upsert
     from loomline.sources.sinks import current, publish
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         at = current(spark, table)
-        rows = batch.dropDuplicates([key])
-        merged = upsert(spark.read.parquet(f"{at}/rows"), rows, key) if at else rows
         if at and at.endswith(f"/batch-{number}"):
             return
+        rest = [c for c in batch.columns if c != key]
+        rows = batch.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("x")).select(key, "x.*").select(*batch.columns)
+        merged = upsert(spark.read.parquet(f"{at}/rows"), rows, key) if at else rows
         publish({"rows": merged}, table, f"batch-{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
