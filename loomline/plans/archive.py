@@ -118,10 +118,15 @@ def _m8(t: Tables) -> DataFrame:
     return c.join(n, ["conv_id", "turn"]).select("conv_id", "turn", versions.word_runs("text", "later").alias("runs"))
 
 
-@query("m7_signatures")
+@query("m7_signatures", r"""SELECT conv_id, turn, left(sha1('{"media":' || CASE WHEN turn % 3 = 0 THEN '[{"embed":' || turn + 5 || '},{"a":1.5,"b":[{},null,' || to_json('x "' || conv_id || '"') || ']},{"uuid":"u' || turn || '"}]' ELSE '[]' END
+  || ',"text":' || to_json(trim(regexp_replace(text, '\s+', ' ', 'g'))) || '}'), 16) AS sig FROM conversations""")
 def _m7(t: Tables) -> DataFrame:
-    raw = F.to_json(F.struct(F.col("text").alias("text"), F.array().cast("array<string>").alias("media"), F.col("turn").alias("likes")))
-    return t.conversations.select("conv_id", "turn", versions.signature(F.lit("comment"), raw).alias("sig"))
+    """Turns as documents, of which every third has media: an embedded post, a nested object with keys that do not count, a medium."""
+    media = """from_json(concat('[{"type": "osnovaEmbed", "data": {"original_id": ', turn + 5, '}}, {"likes": 3, "b": [{}, null, "x  \\\\"', conv_id, '\\\\" "], "a": 1.50}, {"x": 1, "uuid": "u', turn, '"}]'), 'array<variant>')"""
+    raw = F.to_json(F.struct(F.col("text").alias("text"), F.expr(f"CASE WHEN turn % 3 = 0 THEN {media} END").alias("media"), F.col("turn").alias("likes")))
+    key = F.concat_ws("/", "conv_id", "turn")
+    rows = t.conversations.select("conv_id", "turn", key.alias("key"), raw.alias("raw"))
+    return rows.join(versions.signed(rows, "key", "comment"), "key").select("conv_id", "turn", "sig")
 
 
 @query("m15_queue_new_keys", "SELECT p_partkey FROM part WHERE p_size > 25 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1)")

@@ -229,19 +229,18 @@ def salvaged(content, name: str = "items"):
     return read(content)
 
 
-def tree_copies(spark: SparkSession, folders: dict[int, str], sig=None) -> tuple[DataFrame, DataFrame]:
+def tree_copies(spark: SparkSession, folders: dict[int, str]) -> tuple[DataFrame, DataFrame]:
     """Copies of trees in folders, each with the rank of its source: files <tree>.json.gz with fetchedAt and items -> (copies, nodes) for repair.rebuilt. A damaged file
-    gives the items before its damage. sig: a function of (kind, JSON text) columns for signatures."""
+    gives the items before its damage."""
     from functools import reduce
 
-    from loomline.operators.versions import signature
+    from loomline.operators.canonical import signed
 
-    sign = sig or signature
     one = lambda rank, path: spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").load(path).select(F.regexp_extract("path", r"(\d+)\.json", 1).try_cast("long").alias("tree"), F.lit(rank).alias("source"), salvaged("content").alias("x"))
     files = reduce(DataFrame.unionByName, [one(rank, path) for rank, path in folders.items()])
     fetched = F.coalesce(F.get_json_object("x.head", "$.fetchedAt").try_cast("long"), F.lit(0))
     copies = files.select("tree", "source", fetched.alias("fetched"), F.coalesce("x.whole", F.lit(False)).alias("whole"))
-    get = lambda path: F.get_json_object("body", path)
-    items = files.select("tree", "source", F.explode("x.items").alias("body"))
-    nodes = items.select("tree", "source", get("$.id").try_cast("long").alias("id"), get("$.replyTo").try_cast("long").alias("parent"), get("$.date").try_cast("long").alias("date"), sign(F.lit("comment"), F.col("body")).alias("sig"), "body")
-    return copies, nodes.filter("id is not null")
+    get = lambda path: F.get_json_object("body", path).try_cast("long")
+    items = files.select("tree", "source", F.posexplode("x.items").alias("pos", "body")).withColumn("key", F.concat_ws("/", "tree", "source", "pos"))
+    nodes = items.select("key", "tree", "source", get("$.id").alias("id"), get("$.replyTo").alias("parent"), get("$.date").alias("date"), "body").filter("id is not null")
+    return copies, nodes.join(signed(items, "key", "comment", "body"), "key").drop("key")
