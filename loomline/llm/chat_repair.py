@@ -4,9 +4,10 @@ Legal conversations are a system turn or none, then user and assistant in turn,
 finds the cheapest repair of a sequence of turns: keeping a turn costs nothing, merging it into the one before MERGE, giving it another role
 RELABEL, putting an empty turn in between INSERT. The repaired sequence is then rendered.
 
-A conversation is cut into blocks of BLOCK turn numbers. The first pass reduces each block to a matrix of costs between the automaton's states,
-without reading texts; matrices of a conversation are combined by min-plus products to the states at the cuts; the second pass repairs each block
-between its two states. So a conversation that holds a third of all rows is dealt over many tasks, and its cost is the same as in one.
+A conversation is cut into blocks of BLOCK rows, by their places in its order, whatever their turn numbers. The first pass reduces each block to a
+matrix of costs between the automaton's states, by min-plus products of neighbours and without reading texts; matrices of a conversation are
+combined in the same way to the states at the cuts; the second pass repairs each block between its two states. So a conversation that holds a third
+of all rows is dealt over many tasks, and its cost is the same as in one.
 
 Defined results: turns are ordered by number (null last), then role (null first), then a hash of the text; roles count without case and outer
 spaces, any other or null role must be relabelled; null text is empty; repeated rows are turns of their own; null is a conversation of its own;
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from loomline.llm.ranks import ranked
+
 BLOCK = 4096
 MERGE, RELABEL, INSERT = 1.0, 2.0, 3.0
 ROLES = ("system", "user", "assistant")
@@ -67,11 +70,6 @@ END = np.array([0.0, 2 * INSERT, INSERT, 0.0])
 CLOSING = {0: (), 1: (2, 3), 2: (3,), 3: ()}
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Min-plus."""
-    return (a[:, :, None] + b[None, :, :]).min(1)
-
-
 def path(roles: list[int], start: int, end: int) -> list[int]:
     """States after each turn of the cheapest way from start to end."""
     cost = np.full(4, FAR)
@@ -111,11 +109,23 @@ def piece(state: int, text: str, joins: bool, first: bool) -> str:
     return f"\n\n{text}" if joins else ("" if first else "<|end|>\n") + f"<|{ROLES[state - 1]}|>\n{text}"
 
 
-def _numbered(turns: DataFrame) -> DataFrame:
+def folded(codes: list[int]) -> np.ndarray:
+    """The matrix of a run of turns: products of neighbouring pairs, then of these, so that the passes are as many as the logarithm of the run."""
+    m = STEP[np.array(codes)]
+    while len(m) > 1:
+        pairs = (m[: len(m) // 2 * 2 : 2, :, :, None] + m[1 : len(m) // 2 * 2 : 2, None, :, :]).min(2)
+        m = np.concatenate([pairs, m[-1:]]) if len(m) % 2 else pairs
+    return m[0]
+
+
+def numbered(turns: DataFrame) -> DataFrame:
+    """conv_id, block, pos (place in the conversation), code, text, stored: both passes read the same blocks."""
     role = F.lower(F.trim(F.coalesce("role", F.lit(""))))
     code = F.when(role == "system", 1).when(role == "user", 2).when(role == "assistant", 3).otherwise(0)
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(1 << 62))
-    return turns.select("conv_id", "turn", "role", code.alias("code"), F.coalesce("text", F.lit("")).alias("text"), F.col("text").alias("raw"), block.cast("long").alias("block"))
+    rows = turns.select("conv_id", "turn", "role", code.alias("code"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
+    group = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    placed = ranked(rows, group, [F.col("turn").isNull(), F.col("turn"), F.col("role").asc_nulls_first(), F.col("tie")], "turns")
+    return placed.select("conv_id", F.floor((F.col("__pos") - 1) / BLOCK).cast("long").alias("block"), F.col("__pos").alias("pos"), "code", "text")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[list]]]:
@@ -135,26 +145,22 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]
         yield now, held
 
 
-def plan(turns: DataFrame) -> DataFrame:
-    """conv_id, block, entry, leave, last, cost: the states between which each block is repaired, and the conversation's cost."""
-    kind = turns.schema["conv_id"].dataType.simpleString()
-    rows = _numbered(turns).withColumn("tie", F.xxhash64("raw"))
+def plan(rows: DataFrame) -> DataFrame:
+    """Numbered rows -> conv_id, block, entry, leave, last, cost: the states between which each block is repaired, and the conversation's cost."""
+    kind = rows.schema["conv_id"].dataType.simpleString()
 
     def matrices(batches):
         out = []
         for (conv, block), (codes,) in _runs(batches, ["conv_id", "block"], ["code"]):
-            m = np.where(np.eye(4, dtype=bool), 0.0, FAR)
-            for r in codes:
-                m = product(m, STEP[r])
-            out.append((conv, block, m.ravel().tolist(), len(codes)))
+            out.append((conv, block, folded(codes).ravel().tolist(), len(codes)))
             if len(out) >= 2000:
                 yield _batch(out, schema)
                 out = []
         if out:
             yield _batch(out, schema)
 
-    schema = pa.schema([("conv_id", to_arrow_type(turns.schema["conv_id"].dataType)), ("block", pa.int64()), ("m", pa.list_(pa.float64())), ("n", pa.int64())])
-    dealt = rows.select("conv_id", "block", "turn", "role", "code", "tie").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.col("turn").isNull(), "turn", "role", "tie")
+    schema = pa.schema([("conv_id", to_arrow_type(rows.schema["conv_id"].dataType)), ("block", pa.int64()), ("m", pa.list_(pa.float64())), ("n", pa.int64())])
+    dealt = rows.select("conv_id", "block", "pos", "code").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "pos")
     blocks = dealt.mapInArrow(matrices, f"conv_id {kind}, block long, m array<double>, n long")
 
     def join(batches):
@@ -191,9 +197,9 @@ def rendered(turns: DataFrame) -> DataFrame:
     """conv_id, block, n_turns, n_repaired, cost, rendered: a conversation's text is that of its blocks in order."""
     kind = turns.schema["conv_id"].dataType.simpleString()
     # a block's states travel as its first row, so texts are shuffled once and a block is whole in its task, whatever Spark makes of joins
-    states = plan(turns).select("conv_id", "block", F.lit(0).alias("place"), "entry", "leave", "last", "cost")
-    rows = _numbered(turns).select("conv_id", "block", F.lit(1).alias("place"), "turn", "role", "code", "text", F.xxhash64("raw").alias("tie"))
-    rows = rows.unionByName(states, allowMissingColumns=True).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place", F.col("turn").isNull(), "turn", "role", "tie")
+    numbers = numbered(turns)
+    states = plan(numbers).select("conv_id", "block", F.lit(0).cast("long").alias("pos"), "entry", "leave", "last", "cost")
+    rows = numbers.unionByName(states, allowMissingColumns=True).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "pos")
 
     def render(batches):
         out = []

@@ -65,7 +65,7 @@ def test_mix_stays_on_the_jvm(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name]).to_arrow_table()
     got = queries.queries()[name](spark, SMALL).select(*want.column_names).toArrow()
@@ -166,3 +166,24 @@ def test_long_conversation_is_dealt_over_tasks(spark):
     df = spark.range(30_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("t").alias("text"))
     got = chat_repair.rendered(df).collect()
     assert len(got) == 8 and {r["cost"] for r in got} == {0.0} and chat_repair.summary(df).first()["n_repaired"] == 30_000
+
+
+def test_many_rows_at_few_turn_numbers_are_dealt_over_tasks(spark, monkeypatch):
+    """A conversation without id whose turns all have one of four numbers, or none: its blocks are cut by rows."""
+    n = 600
+    monkeypatch.setattr(chat_repair, "BLOCK", 64)
+    df = spark.range(n).select(F.lit(None).cast("long").alias("conv_id"), F.expr("CASE WHEN id % 5 < 4 THEN id % 5 END").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant"), F.lit("bot")), (F.col("id") % 3 + 1).cast("int")).alias("role"), F.col("id").cast("string").alias("text"))
+    got = chat_repair.rendered(df.repartition(6)).collect()
+    assert len(got) == -(-n // chat_repair.BLOCK) and max(r["n_turns"] for r in got) == chat_repair.BLOCK and sum(r["n_turns"] for r in got) == n
+    order = sorted((i % 5, ("user", "assistant", "bot")[i % 3]) for i in range(n))
+    assert {r["cost"] for r in got} == {brute.repair_cost([r for _, r in order])}
+
+
+def test_blocks_fold_as_turn_by_turn():
+    rng = random.Random(8)
+    for n in (1, 2, 3, 7, 64, 501):
+        codes = [rng.randrange(4) for _ in range(n)]
+        one = chat_repair.STEP[codes[0]]
+        for c in codes[1:]:
+            one = (one[:, :, None] + chat_repair.STEP[c][None]).min(1)
+        assert (one == chat_repair.folded(codes)).all()
