@@ -2,10 +2,13 @@
 
 Vectors get one more coordinate that makes all lengths equal, so the largest inner product is the smallest distance. Centroids come from
 balanced clustering of a bounded sample, level by level; they are few enough to be held by every task together with a graph of their
-neighbours, which is searched best-first from several entries. Every vector goes to its nearest list, and a boundary vector to further ones
-up to REPLICAS whose centroids are nearly as near (CLOSURE). A query goes to its LISTS nearest lists, or to more where the true neighbours
-of a bounded sample of queries, found by brute force, show that recall would stay under RECALL (lists_for), so the share of lists read follows
-the data at any size. Lists are not cut by distance: a query that is itself a centroid would keep too few. Lists longer than PART are cut into parts, and queries that meet in one list into blocks, so that a
+neighbours, which is searched best-first from several entries. Every vector goes to its nearest list, and a boundary vector to further ones up to
+REPLICAS: those whose centroids are within a ratio of the nearest that BOUNDARY of the sampled vectors have a second list in, CLOSURE at most.
+
+A query searches the same graph for its nearest centroids and reads those lists whose distance is within a ratio of the nearest. The ratio and the
+width of the search are learnt when the index is built: a bounded sample of queries has its true neighbours found by brute force, and both are
+as large as it takes for RECALL of them (fitted). The nearest distance counts as half the sample's median at least, so a query that is itself a centroid
+keeps its lists, and LEAST lists are read whatever their distance. So the share of lists read follows the data at any size. Lists longer than PART are cut into parts, and queries that meet in one list into blocks, so that a
 task compares one block with one part and returns the best few of each query; a vector held by a third of all rows is only more parts.
 
 Scores are inner products of the vectors as given, in double precision, each summed in the same order, so equal vectors tie exactly and
@@ -30,10 +33,12 @@ from loomline.llm.common import stored
 
 #: Vectors a list should hold, centroids at most, and vectors from which they are learnt at most (the bound of the sample).
 LIST, MOST_CENTROIDS, MOST_SAMPLE = 100, 16_384, 131_072
-REPLICAS, CLOSURE = 4, 1.15
-#: Lists a query at least, and the recall they must reach over so many sampled queries.
-LISTS = 80
-RECALL, MOST_ASKED = 0.95, 256
+REPLICAS, CLOSURE, BOUNDARY = 4, 1.15, 0.75
+#: Lists that are searched for at least, and the recall that those within the ratio must reach over so many sampled queries.
+LISTS = 16
+#: So many are read whatever their distance.
+LEAST = 8
+RECALL, MOST_ASKED = 0.96, 512
 PART, BLOCK = 2048, 1024
 DEGREE, BEAM, ENTRIES = 24, 96, 16
 FAN = 64
@@ -122,16 +127,9 @@ class Graph:
         own = (q * q).sum(1, keepdims=True)
         return ids[:, :want], np.maximum(2 * dist[:, :want] + own, 0)
 
-    def scan(self, q: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """As search, over all centroids: for queries, which need many lists."""
-        q = q.astype(np.float32)
-        want = min(want, len(self.c))
-        d = self.half - q @ self.c.T
-        ids = np.argpartition(d, want - 1, 1)[:, :want]
-        near = np.take_along_axis(d, ids, 1)
-        order = np.argsort(near, 1, kind="stable")
-        own = (q * q).sum(1, keepdims=True)
-        return np.take_along_axis(ids, order, 1), np.maximum(2 * np.take_along_axis(near, order, 1) + own, 0)
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of all centroids, for the few queries that an index is fitted to."""
+        return np.maximum(2 * (self.half - q.astype(np.float32) @ self.c.T) + (q * q).sum(1, keepdims=True), 0)
 
 
 def usable(v: Column) -> Column:
@@ -158,7 +156,32 @@ class Index:
         k = max(1, min(MOST_CENTROIDS, -(-n // LIST)))
         sample = vectors.select("v", F.xxhash64(F.lit(5), "id", "v").alias("h")).orderBy("h").limit(min(MOST_SAMPLE, 64 * k)).select("v").toArrow()
         rng = np.random.default_rng(7)
-        self.graph = Graph(balanced(_lifted(_matrix(sample["v"]), self.longest), k, rng), rng)
+        lifted = _lifted(_matrix(sample["v"]), self.longest)
+        self.graph = Graph(balanced(lifted, k, rng), rng)
+        self.closure = CLOSURE
+        if len(self.graph.c) > 1:
+            _, d = self.graph.search(lifted[:8192], 2)
+            self.closure = min(CLOSURE, float(np.quantile(np.sqrt(d[:, 1] / np.maximum(d[:, 0], 1e-12)), BOUNDARY)))
+        self.width, self.ratio, self.floor = len(self.graph.c), np.inf, 0.0
+
+    def posted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of vectors and which of them count."""
+        ids, d = self.graph.search(_lifted(x, self.longest), REPLICAS)
+        return ids, self._within(d, self.closure)
+
+    def read(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of queries and which of them are read."""
+        ids, d = self.graph.search(np.concatenate([x, np.zeros((len(x), 1))], 1), self.width)
+        ok = self._within(d, self.ratio, self.floor)
+        ok[:, :LEAST] |= np.isfinite(d[:, :LEAST])
+        return ids, ok
+
+    @staticmethod
+    def _within(d: np.ndarray, ratio: float, floor: float = 1e-12) -> np.ndarray:
+        """d: squared distances, the nearest first."""
+        ok = np.isfinite(d) & (d <= np.maximum(d[:, :1], floor) * ratio**2)
+        ok[:, 0] = True
+        return ok
 
 
 def _neighbours(rows: DataFrame, asked: pa.Table, k: int) -> pa.Table:
@@ -182,23 +205,29 @@ def _neighbours(rows: DataFrame, asked: pa.Table, k: int) -> pa.Table:
     return best.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k).select("a", "v").toArrow()
 
 
-def lists_for(index: Index, rows: DataFrame, k: int) -> int:
-    """How many lists a query reads: LISTS, or as many as RECALL takes."""
-    asked = rows.filter("q").select("id", "v", F.xxhash64(F.lit(6), "id", "v").alias("h")).orderBy("h").limit(MOST_ASKED).select("id", "v").toArrow()
+def fitted(index: Index, rows: DataFrame, k: int) -> Index:
+    """index with the width of the search and the ratio of distances that RECALL takes, and the floor of the nearest distance."""
+    each_once = rows.filter("q").groupBy(F.xxhash64(F.lit(6), "v").alias("h")).agg(F.min(F.struct("id", "v")).alias("x"))  # a vector that many queries have counts once
+    asked = each_once.orderBy("h").limit(MOST_ASKED).select("x.id", "x.v").toArrow()
     near = _neighbours(rows, asked, k) if asked.num_rows else asked
     if not near.num_rows:
-        return LISTS
-    x = _matrix(asked["v"])
-    order, _ = index.graph.scan(np.concatenate([x, np.zeros((len(x), 1))], 1), len(index.graph.c))
-    rank = np.argsort(order, 1)
-    held, far = index.graph.search(_lifted(_matrix(near["v"]), index.longest), REPLICAS)
-    posted = far <= np.maximum(far[:, :1], 1e-12) * CLOSURE**2
-    posted[:, 0] = True
-    first = np.where(posted, rank[near["a"].to_numpy()[:, None], held], len(index.graph.c)).min(1)  # the neighbour's list that its query reaches first
-    return max(LISTS, int(np.sort(first)[int(np.ceil(RECALL * len(first))) - 1]) + 1)
-
-
-def _lists(index: Index, query: bool, lists: int = REPLICAS):
+        return index
+    x, centroids = _matrix(asked["v"]), len(index.graph.c)
+    distance = index.graph.distances(np.concatenate([x, np.zeros((len(x), 1))], 1))  # at most MOST_ASKED * MOST_CENTROIDS
+    rank, nearest_ = np.argsort(np.argsort(distance, 1, kind="stable"), 1), distance.min(1)
+    index.floor = float(np.median(nearest_)) / 4
+    held, posted = index.posted(_matrix(near["v"]))
+    of = near["a"].to_numpy()[:, None]
+    first = np.where(posted, rank[of, held], centroids)  # the neighbour's list that its query comes to first
+    best = first.argmin(1)
+    ratio = np.sqrt(distance[of[:, 0], held[np.arange(len(held)), best]] / np.maximum(nearest_[of[:, 0]], index.floor))
+    each = lambda x: np.sort(x)[int(np.ceil((1 + RECALL) / 2 * len(x))) - 1]  # noqa: E731  # each of the two lets half of the rest go
+    index.width = int(min(centroids, max(LISTS, each(first.min(1)) + 1)))
+    index.ratio = float(max(1.0, each(ratio))) * (1 + 1e-6)
+    return index
+
+
+def _lists(index, query: bool):
     """mapInArrow function: (id, v, ...) -> the same rows once for each list they belong to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +235,7 @@ def _lists(index: Index, query: bool, lists: int = REPLICAS):
             step = 256 if query else 1024
             for lo in range(0, whole.num_rows, step):
                 batch = whole.slice(lo, step)
-                x = _matrix(batch["v"])
-                x = np.concatenate([x, np.zeros((len(x), 1))], 1) if query else _lifted(x, index.value.longest)
-                ids, d = index.value.graph.scan(x, lists) if query else index.value.graph.search(x, lists)
-                ok = np.full(d.shape, query) | (d <= np.maximum(d[:, :1], 1e-12) * CLOSURE**2)
-                ok[:, 0] = True
+                ids, ok = (index.value.read if query else index.value.posted)(_matrix(batch["v"]))
                 row, at = np.nonzero(ok)
                 got = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, at].astype(np.int32)), *got.columns], ["list", *got.schema.names])
@@ -229,13 +254,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     if not sizes:
         return spark.createDataFrame([], f"query_id {kind}, rank int, `{id_col}` {kind}, score double")
     rows = stored(rows.groupBy("id", "v").agg(F.max("q").alias("q")), "vectors")
-    built = Index(rows.select("id", "v"))
-    lists = lists_for(built, rows, k)
-    index = spark.sparkContext.broadcast(built)
+    index = spark.sparkContext.broadcast(fitted(Index(rows.select("id", "v")), rows, k))
     element = vectors.schema[vector_col].dataType.simpleString()
     posted = stored(rows.select("id", "v").mapInArrow(_lists(index, False), f"list int, id {kind}, v {element}"), "postings")
     asked = rows.filter("q").select("id", "v").withColumn("qk", F.xxhash64("id", "v")).dropDuplicates(["qk", "id"])
-    asked = stored(asked.mapInArrow(_lists(index, True, lists), f"list int, id {kind}, v {element}, qk long"), "asked")
+    asked = stored(asked.mapInArrow(_lists(index, True), f"list int, id {kind}, v {element}, qk long"), "asked")
     # a line for each centroid at most
     parts = posted.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
