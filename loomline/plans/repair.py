@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators import consistency, guard, repair
+from loomline.operators import consistency, guard, media, repair
 from loomline.plans.registry import Tables, query
 from loomline.sources import buckets
 
@@ -176,3 +176,34 @@ def _m3(t: Tables) -> DataFrame:
     new = base.filter("(conv_id + turn) % 7 != 0").withColumn("text", text).select("key", shaped(base, F.expr("CASE WHEN conv_id % 6 = 5 THEN 1 WHEN conv_id % 6 < 4 THEN 7 END"), F.lit(None), no).alias("n"))
     merged = buckets.feed_rule(7, 1)(old.join(new, "key", "full_outer")).filter("row is not null")
     return merged.select(F.col("key").alias("id"), "row.state", "row.sig", F.array_join("events", " ").alias("events"))
+
+
+def _refs(t: Tables) -> DataFrame:
+    return t.part.selectExpr("p_partkey AS key", "md5(cast(concat(p_brand, p_size) AS binary)) AS sha256", "CASE p_partkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'pending' ELSE 'done' END AS status")
+
+
+def _blobs(t: Tables) -> DataFrame:
+    files = t.part.filter("p_size % 4 != 0").groupBy("p_brand", "p_size").agg(F.min("p_type").alias("mime"))
+    sha = F.md5(F.concat("p_brand", "p_size").cast("binary"))
+    return files.select(sha.alias("sha256"), F.col("p_size").cast("long").alias("size"), "mime", F.concat(F.left(sha, F.lit(2)), F.lit("/"), sha).alias("path"))
+
+
+_INDEX = """b AS (SELECT md5(p_brand || p_size) AS sha256, p_size::BIGINT AS size, min(p_type) AS mime FROM part WHERE p_size % 4 <> 0 GROUP BY p_brand, p_size),
+ r AS (SELECT p_partkey AS key, md5(p_brand || p_size) AS sha256, p_partkey % 5 = 0 AS missing FROM part WHERE p_partkey % 5 <> 1),
+ x AS (SELECT key, CASE WHEN NOT missing THEN r.sha256 END AS sha256, CASE WHEN NOT missing THEN 'media/' || left(r.sha256, 2) || '/' || r.sha256 END AS path, CASE WHEN NOT missing THEN size END AS size, CASE WHEN NOT missing THEN mime END AS mime, missing FROM r LEFT JOIN b USING (sha256) WHERE missing OR b.sha256 IS NOT NULL)"""
+
+
+@query("j4_media_index", f"WITH {_INDEX} SELECT * FROM x")
+def _j4(t: Tables) -> DataFrame:
+    return media.index(_refs(t), _blobs(t))
+
+
+@query("j4_media_usage", f"WITH {_INDEX} SELECT l_suppkey AS archive, count(*) AS files, sum(size)::BIGINT AS bytes FROM (SELECT DISTINCT l_suppkey, sha256, size FROM lineitem JOIN x ON x.key = l_partkey WHERE NOT missing) GROUP BY 1")
+def _j4_usage(t: Tables) -> DataFrame:
+    return media.usage(t.lineitem.select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("archive")), media.index(_refs(t), _blobs(t)))
+
+
+@query("j19_other_owners", "SELECT o_orderkey, o_custkey, s_name AS other FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey AND s_suppkey <> 7")
+def _j19(t: Tables) -> DataFrame:
+    library = t.supplier.select(F.col("s_suppkey").alias("uid"), F.col("s_name").alias("name"))
+    return media.others(t.orders.select("o_orderkey", "o_custkey"), library, 7, "o_custkey")
