@@ -10,6 +10,7 @@ width of the search are learnt when the index is built: a bounded sample of quer
 as large as it takes for RECALL of them (fitted). The nearest distance counts as half the sample's median at least, so a query that is itself a centroid
 keeps its lists, and LEAST lists are read whatever their distance. So the share of lists read follows the data at any size. Lists longer than PART are cut into parts, and queries that meet in one list into blocks, so that a
 task compares one block with one part and returns the best few of each query; a vector held by a third of all rows is only more parts.
+The LEAST nearest lists of a query are compared first; from the others come only candidates whose score reaches its k-th best by then.
 
 Scores are inner products of the vectors as given, in double precision, each summed in the same order, so equal vectors tie exactly and
 smaller ids come first.
@@ -238,7 +239,7 @@ def _lists(index, query: bool):
                 ids, ok = (index.value.read if query else index.value.posted)(_matrix(batch["v"]))
                 row, at = np.nonzero(ok)
                 got = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, at].astype(np.int32)), *got.columns], ["list", *got.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row, at].astype(np.int32)), pa.array(at.astype(np.int32)), *got.columns], ["list", "place", *got.schema.names])
 
     return run
 
@@ -256,16 +257,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = stored(rows.groupBy("id", "v").agg(F.max("q").alias("q")), "vectors")
     index = spark.sparkContext.broadcast(fitted(Index(rows.select("id", "v")), rows, k))
     element = vectors.schema[vector_col].dataType.simpleString()
-    posted = stored(rows.select("id", "v").mapInArrow(_lists(index, False), f"list int, id {kind}, v {element}"), "postings")
+    posted = stored(rows.select("id", "v").mapInArrow(_lists(index, False), f"list int, place int, id {kind}, v {element}").drop("place"), "postings")
     asked = rows.filter("q").select("id", "v").withColumn("qk", F.xxhash64("id", "v")).dropDuplicates(["qk", "id"])
-    asked = stored(asked.mapInArrow(_lists(index, True), f"list int, id {kind}, v {element}, qk long"), "asked")
-    # a line for each centroid at most
-    parts = posted.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    both = F.broadcast(parts.join(blocks, "list"))
-    left = posted.join(both, "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "part", "block", "id", "v")
-    right = asked.join(both, "list").withColumn("block", F.pmod(F.col("qk"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "block", "id", "qk", "v")
-
+    asked = stored(asked.mapInArrow(_lists(index, True), f"list int, place int, id {kind}, v {element}, qk long"), "asked")
     def compare(held: pa.Table, queries: pa.Table) -> pa.Table:
         schema = [("q", queries.schema.field("id").type), ("qk", pa.int64()), ("id", queries.schema.field("id").type), ("score", pa.float64())]
         if not held.num_rows or not queries.num_rows:
@@ -278,7 +272,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         for lo in range(0, queries.num_rows, 128):
             part = queries.slice(lo, 128)
             score = np.einsum("ij,kj->ik", _matrix(part["v"]), x)
-            own = part["id"].to_numpy()[:, None] == ids[None, :]
+            own = (part["id"].to_numpy()[:, None] == ids[None, :]) | (score < part["least"].to_numpy()[:, None])
             order = np.argsort(np.where(own, np.inf, -score), 1, kind="stable")  # stable: equal scores by id
             if again.any():  # those of one score are one candidate, so they go last
                 s = np.take_along_axis(score, order, 1)
@@ -292,8 +286,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             some.append((part["id"].to_numpy()[row], part["qk"].to_numpy()[row], held["id"].to_numpy()[at], score[row, at]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, (_, t) in zip(zip(*some), schema)], [n for n, _ in schema])
 
-    pairs = left.groupBy("list", "part", "block").cogroup(right.groupBy("list", "part", "block")).applyInArrow(compare, out)
+    def compared(queries: DataFrame) -> DataFrame:
+        """The best candidates that each list has for its queries (list, id, qk, v, least)."""
+        parts = posted.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        blocks = queries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        both = F.broadcast(parts.join(blocks, "list"))  # a line for each centroid at most
+        left = posted.join(both, "list").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "part", "block", "id", "v")
+        right = queries.join(both, "list").withColumn("block", F.pmod(F.col("qk"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "block", "id", "qk", "v", "least")
+        return left.groupBy("list", "part", "block").cogroup(right.groupBy("list", "part", "block")).applyInArrow(compare, out)
+
     order = W.Window.partitionBy("q", "qk").orderBy(F.desc("score"), "id")
     # a vector posted to several lists has one score; equal ids of different vectors have their own
-    ranked = pairs.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = lambda pairs: pairs.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    first = stored(best(compared(asked.filter(F.col("place") < LEAST).withColumn("least", F.lit(float("-inf"))))), "first")
+    reached = first.filter(F.col("rank") == k).select(F.col("q").alias("id"), "qk", F.col("score").alias("least"))
+    others = asked.filter(F.col("place") >= LEAST).join(reached, ["id", "qk"], "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    ranked = best(first.drop("rank").unionByName(compared(others)))
     return ranked.select(F.col("q").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
