@@ -13,19 +13,32 @@ from loomline.operators.counting import ranged_sum
 from loomline.session import configure, discard, shared_dir, stored
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    """(id, up) of the rows that have a parent: not null, not 0 and another than the id. Of rows with one id the last parent counts (the largest)."""
+    return edges.groupBy("id").agg(F.max("parent").alias("up")).filter("id is not null and up is not null and up != 0 and up != id")
+
+
 def ancestors(edges: DataFrame) -> DataFrame:
     """edges: (id, parent), parent null or 0 at a root -> (id, ancestor, up): every ancestor with its distance. An id that is only a parent is
-    an ancestor and ends the chain; a cycle ends at the first repeat. Of rows with one id the last parent counts (the largest)."""
+    an ancestor and ends the chain; a cycle ends at the first repeat. Of rows with one id the last parent counts (the largest).
+
+    Pairs within 2**k links, and those of the farthest ancestor, give the pairs within 2**(k + 1); each round is stored, and joins are by sorting, so
+    that nothing but counts comes to the driver. A cycle shows by an id that is above itself, and from then on repeats are taken out of a round."""
     spark = configure(edges.sparkSession)
-    clean = edges.groupBy("id").agg(F.max("parent").alias("parent")).filter("parent is not null and parent != 0 and parent != id")
-    sql = """
-      WITH RECURSIVE up(id, ancestor, up, path) MAX RECURSION LEVEL 100000 AS (
-        SELECT id, parent, 1, array(id, parent) FROM {e}
-        UNION ALL
-        SELECT u.id, e.parent, u.up + 1, array_append(u.path, e.parent) FROM up u JOIN {e} e ON u.ancestor = e.id
-        WHERE NOT array_contains(u.path, e.parent))
-      SELECT id, ancestor, up FROM up"""
-    return spark.sql(sql, e=clean)
+    now, _ = stored(_links(edges).select("id", F.col("up").alias("ancestor"), F.lit(1).alias("up")), "ancestors")
+    known, reach, cyclic = now, 1, False
+    while now.filter(F.col("up") == reach).limit(1).count():
+        far = now.filter(F.col("up") == reach).select("id", F.col("ancestor").alias("via"))
+        further = known.select(F.col("id").alias("via"), "ancestor", (F.col("up") + reach).alias("up"))
+        now, at = stored(far.join(further.hint("merge"), "via").select("id", "ancestor", "up"), "ancestors")
+        cyclic = cyclic or bool(now.filter("id = ancestor").limit(1).count())
+        if cyclic:
+            once = now.filter("id != ancestor").groupBy("id", "ancestor").agg(F.min("up").alias("up")).join(known.select("id", "ancestor").hint("merge"), ["id", "ancestor"], "left_anti")
+            was = at
+            now, _ = stored(once, "ancestors")
+            discard(spark, was)
+        known, reach = known.unionByName(now), 2 * reach
+    return known
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -130,19 +143,45 @@ def preorder(nodes: DataFrame) -> DataFrame:
     return intervals(nodes).select("id", "root", "depth", "pre")
 
 
+def _jumps(edges: DataFrame) -> list[DataFrame]:
+    """(id, up) for 1, 2, 4, ... links, as far as any way goes, or as there are links: a row a node in each."""
+    now, _ = stored(_links(edges), "jumps")
+    found, steps, total = [now], 2, now.count()
+    while steps <= total:
+        now, _ = stored(now.join(now.select(F.col("id").alias("up"), F.col("up").alias("far")).hint("merge"), "up").select("id", F.col("far").alias("up")), "jumps")
+        if not now.limit(1).count():
+            break
+        found.append(now)
+        steps *= 2
+    return found
+
+
+def _closed(jumps: list[DataFrame], of: DataFrame, upwards: bool) -> DataFrame:
+    """of: (grp, id) -> those and all nodes above (or below) them. Rows within 2**k links, and what is 2**k links on from them, are all within 2**(k + 1)."""
+    old, new = ("id", "up") if upwards else ("up", "id")
+    now, at = stored(of.select("grp", "id").distinct(), "closed")
+    for jump in jumps:
+        further = now.join(jump.select(F.col(old).alias("id"), F.col(new).alias("to")), "id").select("grp", F.col("to").alias("id"))
+        was = at
+        now, at = stored(now.unionByName(further).distinct(), "closed")
+        discard(of.sparkSession, was)
+    return now
+
+
 def shown(edges: DataFrame, mine: DataFrame) -> DataFrame:
     """edges: (id, parent), mine: (id, grp) -> (grp, id, chain): what is shown around a group's own comments (what they answer and all that
-    answers them), chain marking the run from the root down that has one child each and none of the own ones: it is shown collapsed."""
-    kept = ancestors(edges)
+    answers them), chain marking the run from the root down that has one child each and none of the own ones: it is shown collapsed.
+
+    Takes a row a node and round for links of 1, 2, 4, ..., and the rows that are shown; pairs of nodes and ancestors are not listed."""
+    configure(edges.sparkSession)
+    jumps = _jumps(edges)
     present = edges.select("id").distinct()
-    above = kept.join(mine, "id").select("grp", F.col("ancestor").alias("id")).join(present, "id", "left_semi")
-    below = kept.join(mine.withColumnRenamed("id", "ancestor"), "ancestor").select("grp", "id")
-    own = mine.join(present, "id", "left_semi").select("grp", "id")
-    nodes = own.unionByName(above).unionByName(below).distinct()
+    around = _closed(jumps, mine, True).unionByName(_closed(jumps, mine, False)).distinct()
+    nodes, _ = stored(around.join(present, "id", "left_semi").select("grp", "id"), "shown")
     linked = nodes.join(edges.groupBy("id").agg(F.max("parent").alias("parent")), "id")
     children = linked.groupBy("grp", F.col("parent").alias("id")).agg(F.count("*").alias("children"))
     # a node is in the chain if neither it nor anything above it is own or has other than one child
-    ends = nodes.join(children, ["grp", "id"], "left").join(mine.withColumn("own", F.lit(True)), ["grp", "id"], "left").filter("own or coalesce(children, 0) != 1").select("grp", "id")
-    under = ends.withColumnRenamed("id", "ancestor").join(kept, "ancestor").select("grp", "id")
-    stop = ends.unionByName(under).distinct().withColumn("stop", F.lit(True))
+    own = mine.select("grp", "id").distinct().withColumn("own", F.lit(True))
+    ends = nodes.join(children, ["grp", "id"], "left").join(own, ["grp", "id"], "left").filter("own or coalesce(children, 0) != 1").select("grp", "id")
+    stop = _closed(jumps, ends, False).withColumn("stop", F.lit(True))
     return nodes.join(stop, ["grp", "id"], "left").select("grp", "id", F.col("stop").isNull().alias("chain"))

@@ -100,3 +100,44 @@ def test_ranged_sum_over_many_ranges(spark):
     first = out.filter("id in (299999, 150000, 0)").select("id", "before").collect()
     want = {i: sum(k % 7 for k in range(i + 1, 300_000)) for i in (299_999, 150_000, 0)}
     assert {r["id"]: r["before"] for r in first} == want
+
+
+def above(parent: dict) -> dict:
+    """(id, ancestor) -> distance, by walks that end at the first repeat."""
+    out = {}
+    for i in parent:
+        seen, j, n = {i}, parent[i], 1
+        while j not in (None, 0) and j not in seen:
+            out[i, j] = n
+            seen.add(j)
+            j, n = parent.get(j), n + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ancestors_and_shown_equal_walks(spark, seed):
+    """With cycles, ways that end outside, and ids of two rows."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([None, 0, i, rng.randrange(1, i + 1), max(i - 1, 1), max(i - 1, 1), rng.randrange(1, 60), 500])) for i in range(1, 50)] + [(7, 3), (90, 91), (91, 92), (92, 90), (93, 92), (94, 93)]
+    edges = spark.createDataFrame(rows, "id long, parent long").repartition(3)
+    parent = {i: max((p for j, p in rows if j == i and p is not None), default=None) for i, _ in rows}
+    pairs = above({i: None if p == i else p for i, p in parent.items()})
+    assert {(r["id"], r["ancestor"]): r["up"] for r in forest.ancestors(edges).collect()} == pairs and forest.ancestors(edges).count() == len(pairs)
+    mine = [(17, 1), (30, 1), (45, 2), (92, 2), (500, 2), (700, 1), (17, 1)]
+    want = {}
+    for g in (1, 2):
+        own = {i for i, x in mine if x == g}
+        nodes = (own | {a for i, a in pairs if i in own} | {i for i, a in pairs if a in own}) & set(parent)
+        ends = {i for i in nodes if i in own or sum(parent[j] == i for j in nodes) != 1}
+        want |= {(g, i): i not in ends and not any((i, e) in pairs for e in ends) for i in nodes}
+    got = forest.shown(edges, spark.createDataFrame(mine, "id long, grp long")).collect()
+    assert {(r["grp"], r["id"]): r["chain"] for r in got} == want and len(got) == len(want)
+
+
+def test_a_long_chain_is_shown_without_its_pairs(spark):
+    """200 million pairs of a node and one above; rows here are those of the nodes."""
+    n = 20_000
+    chain = spark.range(1, n + 1).selectExpr("id", "id - 1 as parent")
+    out = forest.shown(chain, spark.createDataFrame([(15_000, 0)], "id long, grp long"))
+    assert out.count() == n and out.filter("chain").count() == 14_999
+    assert "UnionLoop" not in forest.ancestors(chain.filter("id < 9"))._jdf.queryExecution().toString()
