@@ -56,7 +56,7 @@ class Archive:
 
     def index(self) -> search.Index:
         """Lies with the version it is of, and is written when that is first searched."""
-        root = f"{sinks.current(self.spark, self.root)}/search"
+        root = f"{sinks.current(self.spark, self.root)}/search/{search.FORMAT}"
         return search.opened(self.spark, root) or search.write(self.table("search_docs"), root)
 
     def search(self, query: str, where: str = "all", since: str | None = None, until: str | None = None, year: int | None = None, sort: str = "rank", limit: int = 20, page: int = 1, exact: bool = False) -> DataFrame:
