@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.session import spread
+from loomline.session import discard, spread
 
 #: Keys that hold at least this share of all rows are joined by broadcast; there can be no more than 1 / share of them.
 HOT_SHARE = 1 / 512
@@ -66,12 +66,6 @@ def releasing(run: Callable) -> Callable:
     return wrapped
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint; Spark removes the files when the frame is no longer referenced."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write to the shared folder as Parquet, partitioned by the given columns, and read again: compact, and columns are pruned on reading.
     The shuffle files of the write go as soon as the table is there, which replaces them."""
@@ -86,14 +80,21 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Remove the files of a stored table, not partitioned by columns, that no frame reads any more."""
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        discard(df.sparkSession, folder)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """Rows equal in id and text share a key; others differ but for 64-bit collisions."""
     return F.xxhash64(F.lit(17), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def skew_join(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
+def skew_join(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, how: str = "left", merge: bool = False) -> DataFrame:
     """Join rows to groups, which has one line per key and the number of rows of it in weight. Keys that hold HOT_SHARE of all rows are
-    broadcast (at most 1 / HOT_SHARE lines); the others are joined by shuffle. Null keys match null keys."""
+    broadcast (at most 1 / HOT_SHARE lines); the others are joined by shuffle, or if few as Spark chooses, which merge rules out. Null keys match
+    null keys."""
     least = max(1, int(total * HOT_SHARE))
     hot = groups.filter(F.col(weight) >= least)
     cold = groups.filter(F.col(weight) < least).drop(weight)
@@ -107,5 +108,6 @@ def skew_join(rows: DataFrame, groups: DataFrame, key: str, weight: str, total:
     of_hot = marked.filter("__is_hot").select(*rows.columns, *[F.col(f"__h_{c}").alias(c) for c in added])
     rest = marked.filter(F.col("__is_hot").isNull()).select(*rows.columns)
     there = cold.withColumnRenamed(key, mark)
+    there = there.hint("merge") if merge else there
     of_rest = rest.join(there, F.col(key).eqNullSafe(F.col(mark)), how).select(*rows.columns, *added)
     return of_hot.unionByName(of_rest)

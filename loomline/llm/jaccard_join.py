@@ -17,6 +17,9 @@ and both are used exactly.
    component afterwards is searched for in every block, in chunks; so work grows with the family times what is apart in it, not with its square.
 6. Components by min-label propagation with pointer jumping; classes give their component to their documents.
 
+Tables that grow with the corpus are joined by sort and merge, never broadcast, and rounds are stored: some thirty broadcasts of what is just
+under Spark's threshold come together on the driver, and so do estimates of checkpointed rounds, which double in digits with every round.
+
 Defined results: A-Z lower-cased; null text or text without words has an empty set, links with nothing and is its own component; with fewer
 words than SIZE the whole sequence is the one shingle; equal texts are linked; rows with equal ids are rows of their own, with a line each;
 a null id is never the smallest while there is another; an empty table gives an empty result. Other columns are not read.
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm import bloom
-from loomline.llm.common import bounded_batches, release, releasing, row_key, settle, skew_join, stored
+from loomline.llm.common import bounded_batches, discarded, release, releasing, row_key, skew_join, stored
 from loomline.llm.exchange import binary, bucket_of, buckets_for, by_bucket, unpack
 from loomline.llm.textkit import grams, mix, row_of, slices, words
 
@@ -225,7 +228,7 @@ def sets_of(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for batch, lo, hi, g, bounds in shingle_sets(some, size):
             yield pa.RecordBatch.from_arrays([batch["k"].slice(lo, hi - lo), pa.array(classes_of(g, bounds), pa.int64()), binary(g, bounds)], ["k", "c", "items"])
 
-    return keyed.select("k", "text").mapInArrow(releasing(sets), "k long, c long, items binary").join(wanted, ["k", "c"]).dropDuplicates(["c"]).select("c", "n", "items")
+    return keyed.select("k", "text").mapInArrow(releasing(sets), "k long, c long, items binary").join(wanted.hint("merge"), ["k", "c"]).dropDuplicates(["c"]).select("c", "n", "items")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -344,13 +347,15 @@ def neighbours(ranked: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (c, root): the smallest class that each linked class can reach."""
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "c"))
+    label = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "c"), "labels")
     while True:
-        near = both.join(label.withColumnRenamed("c", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = label.join(near, F.col("c") == F.col("a")).select("c", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        near = both.join(label.withColumnRenamed("c", "b").hint("merge"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        step = label.join(near.hint("merge"), F.col("c") == F.col("a")).select("c", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = label.select(F.col("c").alias("root"), F.col("root").alias("further"))
-        new = settle(step.join(jump, "root", "left").select("c", "was", F.least("root", F.coalesce("further", "root")).alias("root")))
+        new = stored(step.join(jump.hint("merge"), "root", "left").select("c", "was", F.least("root", F.coalesce("further", "root")).alias("root")), "labels")
+        discarded(label)
         if not new.filter("was != root").take(1):
+            discarded(both)
             return new.select("c", "root")
         label = new.select("c", "root")
 
@@ -485,11 +490,11 @@ def joined(sets: DataFrame, percent: int) -> DataFrame:
     """(c, root) of the classes that link with another."""
     stars = stored(neighbours(stored(prefixes(sets, percent), "prefixes"), percent), "stars")
     family = components(stars)
-    member = stored(family.join(sets.select("c", "n"), "c").withColumnRenamed("root", "family"), "members")
+    member = stored(family.join(sets.select("c", "n").hint("merge"), "c").withColumnRenamed("root", "family"), "members")
     of = member.groupBy("family").agg(F.sum("n").alias("shingles"), F.count("*").alias("docs"))
     total, docs = of.agg(F.sum("shingles"), F.sum("docs")).first()
     parts = max(16, int((total or 0) * 2 // MOST))
-    dealt = skew_join(member, of, "family", "docs", docs or 0)
+    dealt = skew_join(member, of, "family", "docs", docs or 0, merge=True)
     blocks = F.ceil(F.col("shingles") * 2 / MOST)
     dealt = stored(dealt.withColumn("blocks", F.when(F.col("shingles") > MOST, blocks).otherwise(1)).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks"))), "dealt")
     both = {"asks": F.lit(True), "held": F.lit(True), "label": F.col("c")}
@@ -498,25 +503,25 @@ def joined(sets: DataFrame, percent: int) -> DataFrame:
     large = dealt.filter("blocks > 1")
     if large.take(1):
         weight = stars.groupBy(F.col("a").alias("c")).agg(F.sum("lists").alias("lists"))
-        chosen = large.join(weight, "c").groupBy("family", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(CENTRAL))).agg(F.max_by("c", F.struct("lists", "c")).alias("c"), F.first("blocks").alias("blocks"))
+        chosen = large.join(weight.hint("merge"), "c").groupBy("family", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(CENTRAL))).agg(F.max_by("c", F.struct("lists", "c")).alias("c"), F.first("blocks").alias("blocks"))
         spread = chosen.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("c", "family", "blocks", "block")
         first = first.unionByName(spread).distinct()
-    links = stored(_searched(first.withColumns(both | {"g": g}).join(sets.select("c", "items"), "c"), percent), "links")
+    links = stored(_searched(first.withColumns(both | {"g": g}).join(sets.select("c", "items").hint("merge"), "c"), percent), "links")
     found = components(links)
     if not large.take(1):
         return found
     # what is apart from the main component of a large family is searched for in each of its blocks
-    placed = large.select("c", "n", "family", "blocks", "block").join(found, "c", "left").withColumn("label", F.coalesce("root", "c")).drop("root")
+    placed = large.select("c", "n", "family", "blocks", "block").join(found.hint("merge"), "c", "left").withColumn("label", F.coalesce("root", "c")).drop("root")
     main = placed.groupBy("family", "label").agg(F.count("*").alias("docs")).groupBy("family").agg(F.max_by("label", F.struct("docs", "label")).alias("main"), F.sum("docs").alias("docs"))
-    placed = stored(skew_join(placed, main, "family", "docs", docs or 0), "placed")
+    placed = stored(skew_join(placed, main, "family", "docs", docs or 0, merge=True), "placed")
     apart = placed.filter("label != main")
     chunks = apart.groupBy("family").agg(F.ceil(F.sum("n") * 2 / MOST).alias("chunks"), F.count("*").alias("docs"))
-    apart = skew_join(apart.drop("main"), chunks, "family", "docs", docs or 0).withColumn("chunk", F.pmod(F.xxhash64("c", F.lit(2)), F.col("chunks")))
+    apart = skew_join(apart.drop("main"), chunks, "family", "docs", docs or 0, merge=True).withColumn("chunk", F.pmod(F.xxhash64("c", F.lit(2)), F.col("chunks")))
     until = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     ask = apart.withColumn("block", until(F.col("blocks"))).select("c", "family", "block", "chunk", "label", F.lit(True).alias("asks"), F.lit(False).alias("held"))
-    hold = skew_join(placed.drop("main"), placed.groupBy("family").agg(F.count("*").alias("docs")).join(chunks.select("family", "chunks"), "family"), "family", "docs", docs or 0, "inner")
+    hold = skew_join(placed.drop("main"), placed.groupBy("family").agg(F.count("*").alias("docs")).join(chunks.select("family", "chunks").hint("merge"), "family"), "family", "docs", docs or 0, "inner", merge=True)
     hold = hold.filter("chunks is not null").withColumn("chunk", until(F.col("chunks"))).select("c", "family", "block", "chunk", "label", F.lit(False).alias("asks"), F.lit(True).alias("held"))
-    again = ask.unionByName(hold).withColumn("g", F.xxhash64("family", "block", "chunk")).drop("block", "chunk").join(sets.select("c", "items"), "c")
+    again = ask.unionByName(hold).withColumn("g", F.xxhash64("family", "block", "chunk")).drop("block", "chunk").join(sets.select("c", "items").hint("merge"), "c")
     more = stored(_searched(again, percent), "more")
     return components(links.unionByName(more)) if more.take(1) else found
 
@@ -530,11 +535,11 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     wanted = stored(found.groupBy("c").agg(F.min("k").alias("k"), F.first("n").alias("n")), "wanted")
     comp = joined(stored(sets_of(keyed, wanted, size), "sets"), percent)
     classes = described.filter("c is not null").groupBy("c").agg(F.min("i").alias("low"), F.count("*").alias("rows"))
-    rooted = classes.join(comp, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    final = stored(rooted.join(smallest, "root").select("c", "root", "component_id", "rows"), "components")
-    total = final.agg(F.sum("rows")).first()[0] or 0
-    full = skew_join(described.filter("c is not null"), final, "c", "rows", total)
+    rooted = stored(classes.join(comp.hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("classes"))
+    of, total = rooted.agg(F.count("*"), F.sum("rows")).first()
+    final = stored(skew_join(rooted, smallest, "root", "classes", of, merge=True).select("c", "root", "component_id", "rows"), "components")
+    full = skew_join(described.filter("c is not null"), final, "c", "rows", total or 0, merge=True)
     empty = described.filter("c is null").withColumns({"root": F.lit(None).cast("long"), "component_id": F.col("i")})
     return full.unionByName(empty)
 
@@ -550,13 +555,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stored(grouped(docs, id_col, text_col, size, percent).select("k", "i", "root"), "grouped")
     best = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("i").isNull().alias("null"), "i", "k")).alias("best"))
     stay = best.select(F.col("best.k").alias("k")).unionByName(found.filter("root is null").select("k")).distinct()
-    drop = found.select("k").distinct().join(stay, "k", "left_anti")
+    drop = found.select("k").distinct().join(stay.hint("merge"), "k", "left_anti")
     again = found.groupBy("k").count().filter("count > 1").select("k")
     touched = stored(drop.withColumn("gone", F.lit(True)).unionByName(again.withColumn("gone", F.lit(False))).groupBy("k").agg(F.max("gone").alias("gone")), "touched")
     keyed = docs.withColumn("__k", row_key(id_col, text_col))
     maybe = bloom.may_have(docs.sparkSession, bloom.build(touched.select("k"), touched.count()), F.col("__k"))
     probed = keyed.withColumn("__maybe", maybe)
-    met = probed.filter("__maybe").join(touched.select(F.col("k").alias("__touched"), F.col("gone").alias("__gone")), F.col("__k") == F.col("__touched"), "left")
+    met = probed.filter("__maybe").join(touched.select(F.col("k").alias("__touched"), F.col("gone").alias("__gone")).hint("merge"), F.col("__k") == F.col("__touched"), "left")
     once = met.filter(F.col("__gone") == F.lit(False)).dropDuplicates(["__k"])
     free = met.filter(F.col("__gone").isNull())
     return probed.filter(~F.col("__maybe")).select(*docs.columns).unionByName(free.select(*docs.columns)).unionByName(once.select(*docs.columns))

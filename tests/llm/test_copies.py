@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.llm import bloom, exact_dedup, jaccard_join, substring_dedup
+from loomline.llm.common import HOT_SHARE
 
 
 def test_exact_copies(docs, rows):
@@ -103,6 +104,38 @@ def test_near_copies_edges(docs, rows, nulls, empty):
     assert twice.count() == 2 * len(rows) and components(twice) == want
 
 
+def test_near_components_broadcast_nothing_that_grows(spark):
+    """Rows broadcast by any statement: none but those of hot groups (fewer than 2 / HOT_SHARE), though all tables are under Spark's own threshold."""
+    texts = {2 * i + j: " ".join(f"p{i}w{k}" for k in range(12 + j)) for i in range(1300) for j in (0, 1)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {x.executionId() for x in _listed(store.executionsList())}
+    got = components(jaccard_join.linked(df))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == {i: (len(t.split()) - 4, i - i % 2) for i, t in texts.items()}
+    sent = []
+    for run in _listed(store.executionsList()):
+        if run.executionId() not in before:
+            values = store.executionMetrics(run.executionId())
+            for node in _listed(store.planGraph(run.executionId()).allNodes()):
+                if node.name().startswith("BroadcastExchange"):
+                    found = [values.get(m.accumulatorId()) for m in _listed(node.metrics()) if m.name() == "number of output rows"]
+                    sent += [int(x.get().replace(",", "")) for x in found if x.isDefined()]
+    assert max(sent, default=0) < 2 / HOT_SHARE
+
+
+def _listed(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def test_rounds_of_components_leave_the_plan_as_small(spark):
+    """A chain, so many rounds: the size that Spark expects does not double in digits with each."""
+    links = spark.range(64).select((F.col("id") * 7919 % 100_003).alias("a"), ((F.col("id") + 1) * 7919 % 100_003).alias("b"))
+    found = jaccard_join.components(links)
+    assert found.count() == 65 and {r["root"] for r in found.collect()} == {0}
+    assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 40
+
+
 def test_divide_skip_reports_all_that_can_reach_the_overlap():
     import random
 
